@@ -1,15 +1,9 @@
 """Operators a training-data pipeline needs: one module per operator, each with
-``queries()`` (what the driver runs) beside the general interface."""
+``QUERIES`` (what the driver runs) beside the general interface."""
 
 from importlib import import_module
 
-_MODULES = (
-    "decontaminate",
-    "quality",
-    "simhash",
-    "sharding",
-    "mixing",
-)
+_MODULES = ("decontaminate", "tokencount", "toxicity", "quality", "vectors", "chat", "simhash", "sharding", "mixing", "htmltext")
 
 
 def queries():

@@ -1,6 +1,7 @@
 """Document quality from weak labels.
 
-Eight heuristic labellers each vote good, bad or abstain. Votes of all documents are
+Eight heuristic labellers each vote good, bad or abstain; most only ever see one kind of
+junk, so that a text which they don't call bad isn't good for that. Votes of all documents are
 counted by pattern (3 ** 8 patterns at most); expectation-maximisation over the counts
 estimates each labeller's accuracies and the share of good documents, and with them the
 probability that a pattern's documents are good. A logistic scorer on hashed features of
@@ -29,16 +30,14 @@ _SHAPES = bytes(
     120 if 97 <= b <= 122 or b >= 128 else 88 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else 32 if b in b" \t\r\x0b\x0c" else b
     for b in range(256)
 )
-_RUNS = re.compile(rb"([^\n ])\1+")
+_RUNS = re.compile(rb"([xX9])\1+")
+_PLAIN = re.compile(rb"[\"'(]*[xX9]+(?:['\-][xX9]+)*[.,;:!?\"')]?").fullmatch
 _SPECIAL = bytes(b for b in range(33, 127) if chr(b) not in ".,;:!?'\"()-" and not chr(b).isalnum())
-LABELLERS = ("symbols", "repeats", "capitals", "bare_marks", "variety", "sentences", "exclaims", "short_words")
+LABELLERS = ("symbols", "repeats", "capitals", "bare_marks", "variety", "short_words", "sentences", "plain_words")
 
 
-def _vote(x: float, good: float, bad: float) -> int:
-    """Good up to ``good``, bad from ``bad`` on, abstaining between (or the other way round)."""
-    if good < bad:
-        return GOOD if x <= good else BAD if x >= bad else ABSTAIN
-    return GOOD if x >= good else BAD if x <= bad else ABSTAIN
+def _bad(is_bad: bool) -> int:
+    return BAD if is_bad else ABSTAIN
 
 
 def describe(raw: bytes | None) -> tuple[int, dict[str, float]]:
@@ -51,27 +50,28 @@ def describe(raw: bytes | None) -> tuple[int, dict[str, float]]:
     shape = raw.translate(_SHAPES)
     chars = len(raw) - raw.count(b" ") - raw.count(b"\n") or 1
     upper, lower = shape.count(b"X"), shape.count(b"x")
-    special = chars - len(raw.translate(None, _SPECIAL + b" \n")) if chars else 0
+    special = len(raw) - len(raw.translate(None, _SPECIAL)) + 2 * raw.count(b"!!")
     same = sum(map(bytes.__eq__, words, words[1:]))
     shapes = Counter(_RUNS.sub(rb"\1", shape).split())
     bare = sum(c for s, c in shapes.items() if not s.strip(b".,;:!?'\"()-|*#$%&/\\+=<>_~^@[]{}`"))
     ends = sum(c for s, c in shapes.items() if s[-1:] in b".!?")
-    bangs = raw.count(b"!") / n
+    plain = sum(c for s, c in shapes.items() if _PLAIN(s))
     kinds = len(set(words))
     short = sum(c for s, c in Counter(map(len, words)).items() if s <= 3)
+    long = n >= 20
     votes = (
-        _vote(special / chars, 0.04, 0.12),
-        _vote(same / n, 0.05, 0.2),
-        _vote(upper / (upper + lower or 1), 0.2, 0.5),
-        _vote(bare / n, 0.05, 0.2),
-        ABSTAIN if n < 20 else _vote(kinds / min(n, 200), 0.4, 0.2),
-        ABSTAIN if n < 20 else _vote(ends / n, 0.02, 0.002),
-        _vote(bangs, 0.1, 0.3),
-        ABSTAIN if n < 20 else _vote(short / n, 0.1, 0.03),
+        _bad(special / chars >= 0.06),
+        _bad(same / n >= 0.2),
+        _bad(upper / (upper + lower or 1) >= 0.5),
+        _bad(bare / n >= 0.1),
+        _bad(long and kinds / min(n, 200) <= 0.25),
+        _bad(long and short / n <= 0.05),
+        GOOD if 0.02 <= ends / n <= 0.35 else _bad(long and ends / n < 0.002),
+        GOOD if plain / n >= 0.9 else _bad(plain / n < 0.75),
     )
     features = {"shape " + s[:16].decode("ascii"): c / n for s, c in shapes.most_common(64)}
-    features |= {"same": same / n, "special": special / chars, "upper": upper / (upper + lower or 1), "bare": bare / n, "variety": kinds / n, "short": short / n}
-    features |= {f"{name} at {min(9, int(10 * x))}": 0.5 for name, x in (("same", same / n), ("special", special / chars), ("upper", upper / (upper + lower or 1)), ("bare", bare / n))}
+    features |= {"same": same / n, "special": special / chars, "upper": upper / (upper + lower or 1), "bare": bare / n, "plain": plain / n, "variety": kinds / n, "short": short / n}
+    features |= {f"{name} at {min(9, int(10 * x))}": 0.5 for name, x in (("same", same / n), ("special", special / chars), ("upper", upper / (upper + lower or 1)), ("bare", bare / n), ("plain", plain / n))}
     return sum(v * 3**k for k, v in enumerate(votes)), features
 
 
@@ -100,10 +100,10 @@ def _described(batches):
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100):
     """Posterior of good for each pattern, the labellers' table [good, labeller, vote], the prior of good.
 
-    ``patterns``: (n, labellers) of votes. The start takes every labeller to be right
-    four times in five, which fixes which of the two classes is the good one."""
+    ``patterns``: (n, labellers) of votes. The start takes bad votes to be rare for good
+    documents and good votes to be rarer for bad ones, which fixes which class is which."""
     k = patterns.shape[1]
-    given = np.tile(np.array([[0.4, 0.48, 0.12], [0.4, 0.12, 0.48]])[:, None, :], (1, k, 1))
+    given = np.tile(np.array([[0.4, 0.4, 0.2], [0.6, 0.05, 0.35]])[:, None, :], (1, k, 1))
     prior = 0.5
     for _ in range(rounds):
         like = np.log(given[:, np.arange(k)[None, :], patterns]).sum(axis=2) + np.log([[1 - prior], [prior]])
