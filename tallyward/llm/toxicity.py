@@ -24,6 +24,8 @@ FEATURES = 4096
 #: A feature is kept if its documents are this many standard errors more toxic than all, and it has so many.
 Z, LEAST = 4.0, 5
 PREFIXES = (5, 7)
+#: Probability of grade 1 or more from which a document is called toxic.
+TOXIC = 0.4
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -34,12 +36,11 @@ def features(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, thresholds: int = 2, rounds: int = 400, l2: float = 2e-3, rate: float = 0.1):
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, thresholds: int = 2, rounds: int = 400, l2: float = 5e-5, rate: float = 0.1):
     """Weights and rising thresholds of a cumulative-link (logistic) model; full-batch Adam."""
     n = max(len(rows), 1)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate([*rows, np.zeros(0)]).astype(np.int64)
-    above = np.asarray(grades)[:, None] > np.arange(thresholds)[None, :]
     p = np.zeros(size + thresholds)  # the last: the first threshold and the logs of the steps up from it
     p[size] = 2.0
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -66,7 +67,6 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, threshold
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     steps = np.exp(np.clip(p[size + 1 :], -6, 6))
-    del above
     return p[:size], p[size] + np.r_[0.0, np.cumsum(steps)]
 
 
@@ -147,7 +147,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 def op3_ordinal_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = severity(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return out.withColumn("toxic", F.col("p_toxic") >= TOXIC)
 
 
 QUERIES = {"op3_ordinal_toxicity": op3_ordinal_toxicity}
