@@ -125,6 +125,16 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list, value: str,
     return df.join(per, cond, "left").withColumn(out, F.sum(value).over(w) + F.col("__before")).drop("__before", *[f"__{c}" for c in [*by, bucket]])
 
 
+def sample_of(df: DataFrame, keys: list, most: int, seed: int) -> DataFrame:
+    """The rows whose keys hash lowest, ``most`` at most but for chance (a hundredth below on average); all rows of a smaller table.
+
+    A threshold on the hash, from the number of rows: nothing is sorted or gathered."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) < int((1 << 40) * 0.99 * most / n))
+
+
 def word_count(text):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; null has none."""
     marks = F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x")

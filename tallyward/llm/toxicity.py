@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, sample_of, table
 
 #: Labelled documents that the model is fitted on, at most: those whose id hashes lowest.
 SAMPLE = 20_000
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold=None) ->
     Without labels the model finds nothing toxic."""
     chosen = labels.where("toxic is not null and doc_id is not null")
     chosen = (chosen if fold is None else chosen.where(fold)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), "toxic")  # SAMPLE rows of 16 bytes: broadcast
+    chosen = sample_of(chosen, ["doc_id"], sample, 11).select(F.col("doc_id").alias("__id"), "toxic")  # SAMPLE rows of 16 bytes: broadcast
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
 
     def found(batches):
