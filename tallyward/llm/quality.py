@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, sample_of, table
 
 #: Documents that the scorer is fitted on, at most.
 SAMPLE = 20_000
@@ -148,8 +148,7 @@ def scores(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
     votes, n = count["votes"].to_numpy(dtype=np.int64), count["count"].to_numpy(dtype=np.float64)
     patterns = np.stack([votes // 3**k % 3 for k in range(len(LABELLERS))], axis=1) if len(votes) else np.zeros((0, len(LABELLERS)), dtype=np.int64)
     post, given, prior = expectation_maximisation(patterns, n)
-    order = F.xxhash64("doc_id", F.lit(7))
-    rows = got.select("votes", "at", "x").orderBy(order, "votes").limit(sample).toPandas() if len(votes) else None
+    rows = sample_of(got, ["doc_id", "votes"], sample, 7).select("votes", "at", "x").toPandas() if len(votes) else None
     y = dict(zip(votes.tolist(), post.tolist()))
     w = fit_logistic(rows["at"].to_list(), rows["x"].to_list(), [y[v] for v in rows["votes"]]) if rows is not None else np.zeros((1 << BITS) + 1)
 
