@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("review",)
+_MODULES = ("review", "formats")
 
 
 def queries():

@@ -12,6 +12,7 @@ from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,7 +267,7 @@ def archive(spark: SparkSession, path: str, headers=None, default_system: str =
             stream.close()
             try:
                 tables[PurePosixPath(member).stem] = load(spark, target, headers, PurePosixPath(member).stem, learned, strict=False)
-            except (SourceError, ElementTree.ParseError, zipfile.BadZipFile, KeyError, ValueError):
+            except (SourceError, PySparkException, ValueError):
                 continue
     if not tables:
         raise SourceError(f"no readable member in {path}")

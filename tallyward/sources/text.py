@@ -5,6 +5,8 @@ at the first lines only. Rows carry ``line_no``, their place in the file."""
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +30,33 @@ def sniff_encoding(head: bytes) -> str:
         return "UTF-16"
     if head and head.count(0) > 0.3 * len(head):
         return "UTF-16LE" if head[1::2].count(0) >= head[::2].count(0) else "UTF-16BE"
-    for cut in range(4):  # the sample may end inside a character
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
     try:
-        head.decode("cp1252")
-        return "windows-1252"
+        codecs.getincrementaldecoder("utf-8")().decode(head, final=len(head) < SAMPLE)  # a sample may end inside a character
+        return "UTF-8"
+    except UnicodeDecodeError:
+        return "windows-1252" if _decodes(head, "cp1252") else "ISO-8859-1"
+
+
+def _decodes(head: bytes, encoding: str) -> bool:
+    try:
+        head.decode(encoding)
+        return True
     except UnicodeDecodeError:
-        return "ISO-8859-1"
+        return False
+
+
+#: Spark reads windows-1252 as ISO-8859-1; these are the characters in which the two differ.
+_C1 = [b for b in range(0x80, 0xA0) if _decodes(bytes([b]), "cp1252")]
+
+
+def spark_encoding(name: str) -> str:
+    return "ISO-8859-1" if name == "windows-1252" else name
+
+
+def as_read(c, name: str) -> Column:
+    """A column read with ``spark_encoding(name)`` as the encoding means it, without a byte order mark."""
+    c = F.regexp_replace(c, "^\ufeff", "")
+    return F.translate(c, "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")) if name == "windows-1252" else c
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = SAMPLE) -> bytes:
@@ -60,7 +78,7 @@ def sniff_delimiter(sample: str) -> str | None:
 
 
 def decoded(head: bytes) -> str:
-    return head.decode(sniff_encoding(head), errors="replace").lstrip("﻿")
+    return head.decode(sniff_encoding(head), errors="replace").lstrip("\ufeff")
 
 
 def _named(raw: DataFrame, cells: Column, at: int, names: list[str]) -> DataFrame:
@@ -87,12 +105,12 @@ def _filled(c) -> Column:
 def csv(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -> DataFrame:
     """Delimited files; the delimiter and the encoding are found out. Every cell is text; quotes may hold line ends."""
     head = first_bytes(spark, path)
-    d = sniff_delimiter(decoded(head)) or ","
+    d, enc = sniff_delimiter(decoded(head)) or ",", sniff_encoding(head)
     sample = decoded(head).splitlines()
     width = max([x.count(d) + 1 for x in sample[:50]] or [1])
     schema = ", ".join(f"c{k} string" for k in range(width + 8))
-    raw = spark.read.csv(path, sep=d, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", schema=schema, encoding=sniff_encoding(head), maxCharsPerColumn=-1)
-    cells = F.array(*[F.regexp_replace(c, "^﻿", "") for c in raw.columns[:width]])
+    raw = spark.read.csv(path, sep=d, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", schema=schema, encoding=spark_encoding(enc), maxCharsPerColumn=-1)
+    cells = F.array(*[as_read(F.col(c), enc) for c in raw.columns[:width]])
     rows = raw.select(F.monotonically_increasing_id().alias("line_no"), cells.alias("cells")).where(_filled("cells"))
     return grid(rows, headers)
 
@@ -100,8 +118,8 @@ def csv(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no, line of a text file in any encoding."""
     enc = sniff_encoding(first_bytes(spark, path))
-    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", enc).alias("text"))
-    text = F.regexp_replace(F.regexp_replace("text", "^﻿", ""), "\r\n?", "\n")
+    whole = spark.read.format("binaryFile").load(path).select(as_read(F.decode("content", spark_encoding(enc)), enc).alias("text"))
+    text = F.regexp_replace("text", "\r\n?", "\n")
     return whole.select(F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
@@ -135,7 +153,7 @@ def pairs_to_table(pairs: DataFrame, names: list[str]) -> DataFrame:
 
 def blocks_of(spark: SparkSession, path: str) -> DataFrame:
     enc = sniff_encoding(first_bytes(spark, path))
-    whole = spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.regexp_replace(F.decode("content", enc), "^﻿", ""), "\r\n?", "\n").alias("text"))
+    whole = spark.read.format("binaryFile").load(path).select(F.regexp_replace(as_read(F.decode("content", spark_encoding(enc)), enc), "\r\n?", "\n").alias("text"))
     return whole.select(F.posexplode(F.split("text", r"\n[ \t]*\n+")).alias("block_no", "block"))
 
 
@@ -205,7 +223,7 @@ def json(spark: SparkSession, path: str) -> DataFrame:
     """A list of objects, an object that holds one under a usual key, or a single object; nested fields flattened."""
     from pyspark.sql import types as T
 
-    df = spark.read.json(path, multiLine=True, encoding=sniff_encoding(first_bytes(spark, path)))
+    df = spark.read.json(path, multiLine=True, encoding=spark_encoding(sniff_encoding(first_bytes(spark, path))))
     if "_corrupt_record" in df.columns:
         raise SourceError(f"{path} is not JSON")
     for k in LIST_KEYS:
