@@ -34,7 +34,7 @@ UNITS = "km|cm|mm|kg|mg|ml|miles?|feet|foot|inch(?:es)?|yards?|met(?:er|re)s?|gr
 
 def tokens(text):
     """Tokens of a text; numbers, names and units begin with their mark."""
-    t = F.regexp_replace(text, r"(\p{Lu})(?<=[\p{Ll}\p{N},;:]\s\p{Lu})", NAME + "$1")
+    t = F.regexp_replace(text, r"(\p{Lu})(?=\p{Ll})(?<=[\p{Ll}\p{N},;:]\s\p{Lu})", NAME + "$1")
     t = F.regexp_replace(F.lower(t), r"[.,:/](?<=\d.)(?=\d)", "")
     t = F.regexp_replace(t, rf"(\d(?<![\p{{L}}\d]\d)\d*) ?({UNITS}|%)(?![\p{{L}}\d])", f"{NUM}$1 {UNIT}$2")
     t = F.regexp_replace(t, rf"\d(?<![\p{{L}}\d{NUM}{UNIT}]\d)\d*(?![\p{{L}}\d])", NUM + "$0")
@@ -58,9 +58,9 @@ def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
 def bench_windows(benchmark: DataFrame) -> DataFrame:
     """h, item_id, pos, n_windows, slots: the windows of all items that say something."""
     clean = benchmark.select("item_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[^\p{L}\p{N}]+", "")).alias("text"))
-    # inside a sentence of a document, an item's first word passes for a name
-    both = clean.select("item_id", F.explode(F.array(F.col("text"), F.concat(F.lit(NAME), "text"))).alias("text"))
-    w = _windows(both, ["item_id"])
+    # inside a sentence of a document, an item's first word passes for a name; in a copy in one case, no name does
+    ways = clean.select("item_id", F.explode(F.array(F.col("text"), F.concat(F.lit(NAME), "text"), F.lower("text"))).alias("text"))
+    w = _windows(ways, ["item_id"])
     literal = F.size(F.filter(F.slice("tpl", F.col("at") + 1, WINDOW), lambda x: ~x.isin("", NUM, NAME, UNIT)))
     w = w.where(literal >= LITERAL)
     w = w.select("h", "item_id", F.col("at").alias("pos"), F.slice("tok", F.col("at") + 1, WINDOW).alias("slots"))

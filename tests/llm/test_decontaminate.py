@@ -30,6 +30,12 @@ def test_copies_and_new_parameters_are_leaks(spark):
     assert {r.doc_id for r in cleaned.collect()} >= {12, 13, 14} and 10 not in {r.doc_id for r in cleaned.collect()}
 
 
+def test_copies_in_one_case(spark):
+    item = "Der alte Mann sah das Haus, den Garten und die Katze an der Wand, als Anna im Winter mit Otto zum Fluss kam und lachte"
+    docs = [(1, "vorher " + item.lower()), (2, item.upper() + " NACHHER"), (3, "Kein Wort davon im Winter an der Wand"), (4, item)]
+    assert {k[0] for k in run(spark, docs, [(7, item)])} == {1, 2, 4}
+
+
 def test_inconsistent_slots_are_not_leaks(spark):
     item = "The number 5 comes first and the number 5 comes second while the number 5 comes third of all"
     same, mixed = item.replace("5", "8"), "The number 1 comes first and the number 2 comes second while the number 3 comes third of all"
