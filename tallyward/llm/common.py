@@ -40,17 +40,29 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyward_path = path
+    tables(spark).append(path)
     return out
 
 
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``materialise`` has written in this session and that are still there."""
+    if not hasattr(spark, "_tallyward_tables"):
+        spark._tallyward_tables = []
+    return spark._tallyward_tables
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in tables(spark):
+        tables(spark).remove(path)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "_tallyward_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_tallyward_path", None):
+            drop(df.sparkSession, path)
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:

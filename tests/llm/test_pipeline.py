@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tallyward.llm import decontaminate, quality, simhash
-from tallyward.llm.common import materialise, table
+from tallyward.llm.common import materialise, table, tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +40,14 @@ def test_empty_documents(spark):
         docs = materialise(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
     assert quality.REJECT == 0.5
+
+
+def test_run_leaves_the_last_tables_only(spark):
+    before = set(tables(spark))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    rows = out.collect()
+    left = [p.rsplit("/", 1)[1].split("-")[1] for p in set(tables(spark)) - before]
+    assert left == ["stage3"] and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+    for s in range(40):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
