@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 _BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address hr center details summary hgroup nav header footer aside form fieldset dialog menu noscript head title".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg canvas object audio video select button math".split())
 _OUT = frozenset("head nav header footer aside form dialog menu fieldset label".split())
@@ -37,6 +38,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_CLASS = re.compile(r"""class\s*=\s*["']?([\w-]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 
@@ -81,8 +83,7 @@ def blocks(html: str, names: bool = True) -> list[_Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tags = [s[0] for s in stack]
-                out.append(_Block("/".join(s[2] for s in stack), [s[1] for s in stack], text, linked, bool(stack and stack[-1][3]), any(re.fullmatch("h[1-6]", t) for t in tags)))
+                out.append(_Block("/".join(s[2] for s in stack), [s[1] for s in stack], text, linked, bool(stack and stack[-1][3]), any(s[0] in _HEADINGS for s in stack)))
             parts.clear()
         linked = link = 0
 
@@ -149,7 +150,7 @@ def blocks(html: str, names: bool = True) -> list[_Block]:
                 stack[:] = [s for s in stack if s[0] == "html"]
         if block or unwanted:
             serial += 1
-            cls = re.search(r"""class\s*=\s*["']?([\w-]+)""", m[3]) if m[3] else None
+            cls = _CLASS.search(m[3]) if m[3] else None
             stack.append((tag, serial, f"{tag}.{cls[1]}" if cls else tag, unwanted or bool(stack and stack[-1][3])))
     flush()
     return out
