@@ -196,4 +196,4 @@ def conflict_matrix(spark, d):
 
 @query(f"WITH {_ACC} SELECT line_no, length(role) AS n, regexp_matches(lower(role), '(^|[^a-z0-9_])({'|'.join(V.PRIVILEGED_ROLE_WORDS)})([^a-z0-9_]|$)') OR regexp_matches(lower(role), '{V.ADMIN_GROUP.replace('?:', '')}') OR regexp_matches(lower(role), '{'|'.join(V.PRIVILEGED_ROLE_PARTS)}') AS privileged FROM a WHERE role IS NOT NULL")
 def privileged_roles(spark, d):
-    return D.accounts(spark, d).where("role is not null").select("line_no", F.length("role").alias("n"), A.is_privileged_role(F.col("role")).alias("privileged"))
+    return D.accounts(spark, d).where("role is not null").select("line_no", F.length("role").cast("long").alias("n"), A.is_privileged_role(F.col("role")).alias("privileged"))
