@@ -152,7 +152,7 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
     hot = keys.groupBy("key").count().where(F.col("count") > cap).select("key", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
     cut = keys.join(hot, "key", "left").withColumn("mine", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("chunks"))))
     runs = cut.select("key", "fp", "mine", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("other"))
-    run = F.when((F.col("mine") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.shiftleft(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")), 0))
+    run = F.when((F.col("mine") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
     return runs.select(run.alias("run"), "fp").repartition("run").sortWithinPartitions("run").mapInArrow(_links, "a long, b long")
 
 
