@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,8 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = getattr(spark, "_tallyward_dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyward-")
-        spark._tallyward_dir = path
+        path = getattr(spark, "_tallyward_dir", None)
+        if path is None:
+            folder = tempfile.mkdtemp(prefix="tallyward-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            path = spark._tallyward_dir = "file://" + folder
     return path.rstrip("/")
 
 
