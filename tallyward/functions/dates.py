@@ -117,3 +117,15 @@ def age_days(c, ref: date, **how) -> Column:
 
 def quarter_label(d: Column) -> Column:
     return F.concat(F.lit("Q"), F.quarter(d).cast("string"), F.lit(" "), F.year(d).cast("string"))
+
+
+def extraction_day(text: str | None, default: date) -> date:
+    """The day on which an export was made, as a user writes it in one of four ways; else the default."""
+    from datetime import datetime
+
+    for pattern in ("%d/%m/%Y", "%Y-%m-%d", "%d-%m-%Y", "%d.%m.%Y"):
+        try:
+            return datetime.strptime((text or "").strip(), pattern).date()
+        except ValueError:
+            continue
+    return default

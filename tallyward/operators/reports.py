@@ -178,3 +178,13 @@ def filtered(df: DataFrame, levels: list[str] | None = None, with_action: bool =
 def account(df: DataFrame, username: str, system: str | None = None) -> DataFrame:
     out = df.where(T.low(F.col("username")) == username.strip().lower())
     return out if system is None else out.where(T.low(F.col("system")) == system.strip().lower())
+
+
+def read_by_recognition(df: DataFrame) -> DataFrame:
+    """recognised: rows that came from an image."""
+    return df.agg((F.count_if("_ocr_source") if "_ocr_source" in df.columns else F.lit(0)).cast("long").alias("recognised"))
+
+
+def with_expired_acceptances(df: DataFrame) -> DataFrame:
+    """username, system, findings of accounts whose acceptances have run out."""
+    return df.where(F.size("expired_finding_keys") > 0).select("username", "system", F.array_join("expired_finding_keys", ", ").alias("findings"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import codecs
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
@@ -163,11 +163,61 @@ def _names(pairs: DataFrame) -> list[str]:
     return [r.key for r in seen.orderBy("at").limit(500).collect()]
 
 
+def blocks_as_tables(spark: SparkSession, path: str, headers: dict[str, str] | None = None, most: int = 200) -> DataFrame | None:
+    """A text of several tables with a blank line between, each with its headers: standardised and stacked.
+
+    A block of one line without known headers is a title; one of several lines, or fewer
+    than two tables, means the text is something else (None). The blocks' first lines come
+    to the driver; texts of more than ``most`` blocks are something else too."""
+    from ..operators.standard import standardise
+
+    blocks = blocks_of(spark, path).where(F.trim("block") != "")
+    tops = blocks.select("block_no", F.slice(F.split("block", "\n"), 1, 3).alias("top")).orderBy("block_no").limit(most + 1).collect()
+    if not 2 <= len(tops) <= most:
+        return None
+    found = []
+    for r in tops:
+        lines_ = [x for x in r.top if x.strip()]
+        d = sniff_delimiter("\n".join(lines_))
+        if len(lines_) >= 2 and d and H.score([c.strip() for c in lines_[0].split(d)], headers) >= 2:
+            found.append((r.block_no, d))
+        elif len(lines_) >= 2:
+            return None
+    if len(found) < 2:
+        return None
+    out = None
+    for k, d in found:
+        rows = blocks.where(F.col("block_no") == k).select(F.posexplode(F.split("block", "\n")).alias("line_no", "line"))
+        t = standardise(delimited(rows.withColumn("line_no", F.col("line_no") + k * F.lit(1 << 32)), d, headers), headers).df
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def table_groups(rows: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+    """page, row, cells of positioned text with ``group_no``: a table for each run under a header row.
+
+    For readers of formats without tables of their own: a row of two known headers or more
+    starts a group unless it repeats the group's headers, which are dropped; rows before
+    any header and rows of another width than their group's headers are dropped."""
+    known = {H.key(n).replace(" ", "") for names in H.variants(headers).values() for n in names}
+    key = lambda x: F.regexp_replace(F.lower(F.trim(x)), r"[_/\\-]|\s+", "")
+    score = F.size(F.filter("cells", lambda x: key(x).isin(sorted(known))))
+    marked = rows.withColumn("is_header", score >= 2).withColumn("head", F.when(F.col("is_header"), F.array_join("cells", "\t")))
+    place = Window.orderBy("page", "row")  # one document's rows
+    marked = marked.withColumn("before", F.last("head", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = marked.withColumn("starts", F.col("is_header") & ~F.coalesce(F.col("head") == F.col("before"), F.lit(False)))
+    marked = marked.withColumns({"group_no": F.sum(F.col("starts").cast("int")).over(place), "width": F.last(F.when(F.col("starts"), F.size("cells")), ignorenulls=True).over(place)})
+    return marked.where((F.col("group_no") > 0) & (F.col("starts") | ~F.col("is_header")) & (F.size("cells") == F.col("width"))).select("page", "row", "group_no", "cells")
+
+
 def text(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -> DataFrame:
     """Plain text: delimited if its lines are, else key-value blocks, else aligned columns."""
     sample = decoded(first_bytes(spark, path))
     raw = lines(spark, path)
     first = [x for x in sample.splitlines() if x.strip()]
+    tables = blocks_as_tables(spark, path, headers)
+    if tables is not None:
+        return tables
     d = sniff_delimiter(sample)
     if d and len(first) >= 2 and max((H.score([c.strip() for c in x.split(d)], headers) for x in first[:5]), default=0) > 0:
         return delimited(raw, d, headers)

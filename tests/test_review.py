@@ -4,7 +4,7 @@ import pytest
 
 from tallyward.functions import names as N
 from tallyward.functions import vocab as V
-from tallyward.functions.dates import age_days, conventions, day_of
+from tallyward.functions.dates import age_days, conventions, day_of, extraction_day
 from tallyward.operators import cycles, people, reports, review
 
 REF = date(2026, 7, 1)
@@ -164,3 +164,15 @@ def test_decisions(spark):
     assert [r.seq for r in cycles.audit_trail(log, "ann", "S").collect()] == [1, 2]
     with pytest.raises(ValueError, match="unknown"):
         cycles.decision(spark, "a", "s", 1, "maybe", "me", "t")
+
+
+def test_extraction_day():
+    for t in ("01/06/2026", " 2026-06-01", "01-06-2026", "01.06.2026"):
+        assert extraction_day(t, REF) == date(2026, 6, 1)
+    assert extraction_day("soon", REF) == extraction_day(None, REF) == REF
+
+
+def test_expired_acceptances_and_recognised_rows(spark):
+    df = spark.createDataFrame([("a", "s", ["is_dormant"], True), ("b", "s", [], False)], "username string, system string, expired_finding_keys array<string>, _ocr_source boolean")
+    assert [r.findings for r in reports.with_expired_acceptances(df).collect()] == ["is_dormant"]
+    assert reports.read_by_recognition(df).first().recognised == 1

@@ -130,3 +130,15 @@ def test_headers():
     assert H.header_row([["a", "1"], ["b", "2"]]) == 0
     assert N.unique_names(["x", "x", None, " "]) == ["x", "x__dup1", "unnamed_2", "unnamed_3"]
     assert S.sniff_encoding("é".encode("utf-16")) == "UTF-16" and S.sniff_encoding("é".encode("cp1252")) == "windows-1252" and S.sniff_encoding(b"abc") == "UTF-8"
+
+
+def test_text_of_several_tables(spark, tmp_path):
+    text = "Accounts of both systems\n\nLogin;System;Status\nann;ERP;Active\nbob;ERP;Disabled\n\nUser name|Application|Department\ncy|CRM|Sales\n"
+    got = {(r.username, r.system, r.account_status, r.department) for r in D.load(spark, put(tmp_path, "t.txt", text)).collect()}
+    assert got == {("ann", "ERP", "Active", None), ("bob", "ERP", "Disabled", None), ("cy", "CRM", None, "Sales")}
+
+
+def test_groups_of_positioned_rows(spark):
+    rows = [(1, 1, ["title"]), (1, 2, ["Login", "Status"]), (1, 3, ["ann", "Active"]), (2, 1, ["Login", "Status"]), (2, 2, ["bob", "Active"]), (2, 3, ["odd", "row", "here"]), (3, 1, ["User name", "Role", "System"]), (3, 2, ["cy", "r", "s"])]
+    got = S.table_groups(spark.createDataFrame(rows, "page int, row int, cells array<string>")).orderBy("page", "row").collect()
+    assert [(r.group_no, r.cells[0]) for r in got] == [(1, "Login"), (1, "ann"), (1, "bob"), (2, "User name"), (2, "cy")]
