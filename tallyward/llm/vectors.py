@@ -5,7 +5,8 @@ graph in one task (bounded by ``SHARD``) and every class queries every shard, in
 A beam that ends full of links is widened until it isn't; and each block audits its
 recall, on its own queries and on shard vectors moved to a known cosine, against brute
 force, widening all beams until the audit passes. What the graphs find is verified by
-cosine in double precision; links of either direction count; components are united.
+cosine in double precision. A task puts out each query's number of links in its shard and
+links that span what it found, never all pairs; components are united from the latter.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, forest, materialise, table
 
 COSINE = 0.95
 #: Vectors of a shard, at most; at least LEAST shards.
@@ -27,7 +28,9 @@ BLOCK = 16_384
 #: Links of a node on the ground layer (half above), beam while building, first beam of a search.
 DEGREE, BUILD, BEAM = 24, 48, 32
 #: Recall that an audit asks for, its queries and probes.
-RECALL, AUDIT = 0.98, 64
+RECALL, AUDIT = 0.99, 96
+#: Queries whose links are held at once.
+HELD = 512
 
 
 class Graph:
@@ -185,8 +188,8 @@ class Graph:
         return out[:, 0], out[:, 1]
 
 
-def audited_links(graph: Graph, q: np.ndarray, cosine: float = COSINE, recall: float = RECALL, beam: int = BEAM, seed: int = 3):
-    """Links of all queries, with beams as wide as the audit asks for: (query, node, beam, measured recall)."""
+def audited_beam(graph: Graph, q: np.ndarray, cosine: float = COSINE, recall: float = RECALL, beam: int = BEAM, seed: int = 3) -> tuple[int, float]:
+    """The first beam of a search of q that the audit asks for, and the recall that it measured."""
     rng = np.random.default_rng(seed)
     probes = graph.x[rng.integers(0, len(graph.x), AUDIT)].astype(np.float64)
     noise = rng.standard_normal(probes.shape)
@@ -200,7 +203,7 @@ def audited_links(graph: Graph, q: np.ndarray, cosine: float = COSINE, recall: f
         got = set(zip(*(z.tolist() for z in graph.links(audit, cosine, beam))))
         r = len(truth & got) / len(truth) if truth else 1.0
         if r >= recall or beam >= len(graph.x):
-            return *graph.links(q, cosine, beam), beam, r
+            return beam, r
         beam *= 2
 
 
@@ -239,7 +242,7 @@ def _build(group):
         x = np.frombuffer(b"".join(part.column("unit").to_pylist()), dtype=np.float64).reshape(-1, d)
         g = Graph(x)
         dims.append(int(d))
-        packed.append(_pack(cls=part.column("cls").to_numpy(), x=x, order=g.order[:1], **{f"layer{k}": a for k, a in enumerate(g.layers)}))
+        packed.append(_pack(cls=part.column("cls").to_numpy(), n=part.column("n").to_numpy(), x=x, order=g.order[:1], **{f"layer{k}": a for k, a in enumerate(g.layers)}))
     return pa.table({"shard": pa.array([group.column("shard")[0].as_py()] * len(dims), pa.int32()), "dim": pa.array(dims, pa.int32()), "graph": pa.array(packed, pa.binary())})
 
 
@@ -248,27 +251,40 @@ def _open(packed: bytes):
     g = Graph.__new__(Graph)
     g.x, g.order = z["x"].astype(np.float32), z["order"]
     g.layers = [z[f"layer{k}"] for k in range(sum(name.startswith("layer") for name in z.files))]
-    return g, z["cls"], z["x"]
+    return g, z["cls"], z["n"], z["x"]
 
 
 def _query(batches):
-    """Rows by (shard, dim, block), the graph before its queries: the links found, as classes."""
+    """Rows by (shard, dim, block), the graph before its queries.
+
+    Out: (class, null, vectors of the shard that it links with), and links (class, class, null) that span what was found."""
     import pyarrow as pa
 
-    graph = cls = x = key = None
+    graph = cls = size = x = key = None
     ids, units = [], []
 
+    def rows(a, b, n):
+        kinds = (a, b, n)
+        some = next(len(k) for k in kinds if k is not None)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) if k is not None else pa.nulls(some, pa.int64()) for k in kinds], names=["a", "b", "n"])
+
     def answer():
         if graph is None or not ids:
             return
-        q = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(ids), -1)
-        i, j, _, _ = audited_links(graph, q.astype(np.float32), COSINE - 1e-4)
-        own = np.asarray(ids)
-        for a in range(0, len(i), 65536):
-            p, r = i[a : a + 65536], j[a : a + 65536]
-            ok = (np.einsum("nd,nd->n", q[p], x[r]) >= COSINE) & (own[p] != cls[r])
-            u, v = own[p][ok], cls[r][ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+        q, own = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(ids), -1), np.asarray(ids)
+        single, least = q.astype(np.float32), COSINE - 1e-4
+        beam, _ = audited_beam(graph, single, least)
+        for a in range(0, len(ids), HELD):
+            i, j = graph.links(single[a : a + HELD], least, beam)
+            i = i + a
+            ok = own[i] != cls[j]
+            for k in range(0, len(i), 65536):
+                ok[k : k + 65536] &= np.einsum("nd,nd->n", q[i[k : k + 65536]], x[j[k : k + 65536]]) >= COSINE
+            i, j = i[ok], j[ok]
+            yield rows(own[a : a + HELD], None, np.bincount(i - a, size[j], minlength=len(own[a : a + HELD])).astype(np.int64))
+            if len(i):
+                f = forest(np.stack([own[i], cls[j]], axis=1))
+                yield rows(f[:, 0], f[:, 1], None)
 
     for b in batches:
         for shard, dim, block, cl, data in zip(*(c.to_pylist() for c in b.columns)):
@@ -276,7 +292,7 @@ def _query(batches):
                 yield from answer()
                 key, graph, ids, units = (shard, dim, block), None, [], []
             if cl is None:
-                graph, cls, x = _open(data)
+                graph, cls, size, x = _open(data)
             else:
                 ids.append(cl), units.append(data)
     yield from answer()
@@ -299,16 +315,14 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     n = classes.count()
     shards = max(LEAST, -(-n // SHARD))
     blocks = max(1, -(-n // BLOCK))
-    dealt = classes.select(F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).cast("int").alias("shard"), "dim", "cls", "unit")
+    dealt = classes.select(F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).cast("int").alias("shard"), "dim", "cls", "n", "unit")
     graphs = materialise(dealt.groupBy("shard").applyInArrow(_build, "shard int, dim int, graph binary"), "graphs")
     asked = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.pmod(F.xxhash64("k2"), F.lit(blocks)).cast("int").alias("block"), "cls", F.col("unit").alias("data"))
     shown = graphs.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("long").alias("cls"), F.col("graph").alias("data"))
     rows = asked.unionByName(shown).repartition(max(shards * blocks, 2), "shard", "dim", "block").sortWithinPartitions("shard", "dim", "block", F.col("cls").asc_nulls_first())
-    pairs = materialise(rows.mapInArrow(_query, "a long, b long").distinct(), "pairs")
-    size = classes.select(F.col("cls").alias("of"), "n")
-    both = pairs.union(pairs.select("b", "a")).toDF("c", "o").join(size, F.col("o") == F.col("of"))
-    degree = both.groupBy("c").agg(F.sum("n").alias("others"))
-    named = classes.join(degree, classes.cls == degree.c, "left").join(components(pairs), F.col("cls") == F.col("node"), "left")
+    found = materialise(rows.mapInArrow(_query, "a long, b long, n long"), "found")
+    degree = found.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("others"))
+    named = classes.join(degree, classes.cls == degree.c, "left").join(components(found.where("b is not null").select("a", "b")), F.col("cls") == F.col("node"), "left")
     named = named.select("k1", "k2", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("root", "cls").alias("root"))
     least = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("comp"))
     named = named.join(least, F.col("root") == F.col("r")).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "links", "comp")

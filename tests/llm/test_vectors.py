@@ -25,7 +25,8 @@ def test_graph_finds_links_and_large_groups():
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     truth = unit @ unit.T >= 0.95
     g = v.Graph(unit)
-    i, j, beam, recall = v.audited_links(g, unit.astype(np.float32))
+    beam, recall = v.audited_beam(g, unit.astype(np.float32))
+    i, j = g.links(unit.astype(np.float32), 0.95, beam)
     got = np.zeros_like(truth)
     got[i, j] = True
     assert recall >= v.RECALL and (got & truth).sum() / truth.sum() > 0.97
