@@ -5,8 +5,8 @@ what they are (navigation, header, footer, aside, form, script, adverts, notices
 by tag, role or class) are left out. Over the paths of what remains, the ratios of text
 length and of punctuation to the number of nodes are aggregated, laid out over the blocks
 in page order, smoothed, fused by product and held against their standard deviation: the
-paths above are content. The smallest element that holds nearly all content bounds the
-article, and what is in it is returned.
+paths above are content. An article or main element with most of it, else the smallest element
+that holds all of it, bounds the article; what is in it and all content outside is returned.
 """
 
 from __future__ import annotations
@@ -178,12 +178,29 @@ def path_scores(found: list[_Block]) -> tuple[np.ndarray, float]:
     return fused, 0.5 * float(fused.std())
 
 
-#: Share of the content's text that the article's element holds at least.
-HOLDS = 0.8
+def _bound(chosen: list[_Block]) -> int | None:
+    """The element that bounds the article: an outermost article or main with most of the chosen text, else the deepest that holds all of it."""
+    weight: dict[int, int] = defaultdict(int)
+    tags, outer = {}, set()
+    for b in chosen:
+        names = [label.split(".")[0] for label in b.path.split("/")]
+        for e, t in zip(b.chain, names):
+            weight[e] += len(b.text)
+            tags[e] = t
+        outer.update([e for e, t in zip(b.chain, names) if t in ("article", "main")][:1])
+    total = sum(len(b.text) for b in chosen)
+    if outer and 2 * weight[top := max(outer, key=lambda e: weight[e])] > total:
+        return top
+    # elements are numbered as they open, and those that hold all are nested; a paragraph or item is part of what is around it
+    whole = [e for e, w in weight.items() if w == total and tags[e] in ("html", "body", "main", "article", "section", "div", "td", "center", "blockquote")]
+    return max(whole, default=None)
 
 
 def main_text(html: str | None) -> str:
-    """The article of a page: blocks in page order, joined by a space; empty without one."""
+    """The article of a page: blocks in page order, joined by a space; empty without one.
+
+    No block whose path passes the threshold is left out, be it inside the article's
+    element or not; inside, what isn't mostly links comes along with it."""
     every = blocks(html or "")
     found = [b for b in every if not b.unwanted]
     if not found:  # a wrapper whose class speaks of a sidebar, say
@@ -194,22 +211,11 @@ def main_text(html: str | None) -> str:
     content = defaultdict(float)
     for b, s in zip(found, fused):
         content[b.path] = max(content[b.path], s)
+    plain = lambda b: b.heading or b.linked <= 0.5 * len(b.text)
     chosen = [b for b in found if content[b.path] >= least and b.linked <= 0.5 * len(b.text)] or found
-    weight: dict[int, int] = defaultdict(int)
-    for b in chosen:
-        for e in b.chain:
-            weight[e] += len(b.text)
-    total = sum(len(b.text) for b in chosen)
-    bounds = [e for e, w in weight.items() if w >= HOLDS * total]
-    # elements are numbered as they open, and those that hold so much are nested
-    bound = max(bounds, default=None)
-    # a paragraph or item that alone holds the most is part of what is around it
-    tags = {e: t for b in chosen for e, t in zip(b.chain, b.path.split("/"))}
-    while bound is not None and tags[bound].split(".")[0] not in ("html", "body", "main", "article", "section", "div", "td", "center", "blockquote"):
-        bound = max((e for e in bounds if e < bound), default=None)
-        bounds = [e for e in bounds if bound is not None and e <= bound]
-    inside = [b for b in found if bound is None or bound in b.chain]
-    return " ".join(b.text for b in inside if content[b.path] >= least or b.heading or b.linked <= 0.5 * len(b.text))
+    bound = _bound(chosen)
+    inside = lambda b: bound is None or bound in b.chain
+    return " ".join(b.text for b in found if (content[b.path] >= least or plain(b) if inside(b) else content[b.path] >= least and plain(b)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

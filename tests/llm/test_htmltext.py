@@ -24,6 +24,20 @@ def test_pages_without_article_tags():
     assert h.main_text(f"<body><ul>{links}</ul><div>{body}</div></body>") == " ".join(f"{LONG}{i}" for i in range(5))
 
 
+def test_one_long_part_leaves_the_others():
+    body = "".join(f"<p>{LONG}{i}</p>" for i in range(8))
+    text = " ".join(f"{LONG}{i}" for i in range(8))
+    assert h.main_text(f"<body><article><h1>Title</h1><p>A lead, in short.</p><div class=content>{body}</div></article></body>") == "Title A lead, in short. " + text
+    assert h.main_text(f"<body><main><h1>Title</h1><article>{body}</article></main></body>") == "Title " + text
+    for part in ("div", "blockquote", "section"):
+        got = h.main_text(f"<body><div><{part}><p>{LONG}first</p></{part}><{part}>{body}</{part}><{part}><p>{LONG}last</p></{part}></div></body>")
+        assert got == f"{LONG}first {text} {LONG}last"
+    got = h.main_text(f"<body><table><tr><td><p>{LONG}first</p></td><td>{body}</td></tr></table></body>")
+    assert got == f"{LONG}first {text}"
+    got = h.main_text(f"<body><article>{body}</article><div><p>{LONG * 2}more</p></div></body>")
+    assert got == f"{text} {LONG * 2}more"
+
+
 def test_odd_pages():
     assert h.main_text(None) == h.main_text("") == h.main_text("<!-- only -->") == h.main_text("<nav>x</nav>") == ""
     assert h.main_text("just text, no tags &amp; all") == "just text, no tags & all"
