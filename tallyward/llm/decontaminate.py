@@ -4,7 +4,7 @@ A text becomes tokens in which numbers, names (a capital inside a sentence) and
 after numbers carry a type mark before their value. Its template has the marks alone.
 Windows of five template tokens of every document are hash-joined with those of the
 benchmark. Matches of a document and an item are lined up by offset; an item whose
-windows are covered to 0.8 or more is a leak if its slots are consistent: each value
+windows are covered to 0.8 or more in any of its spellings is a leak if its slots are consistent: each value
 that the item has in a slot stands for one value in the document, as it does where a
 question was copied or only given new numbers and names.
 """
@@ -47,32 +47,45 @@ def template(tokens_):
 
 
 def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each window: the columns ``keep``, at, h; tok is left for slots."""
+    """One row for each window: the columns ``keep``, at, h, literal; tok is left for slots.
+
+    h is of the template, or, where it is nearly all marks (not literal), of the values."""
     df = df.select(*keep, tokens(F.col("text")).alias("tok")).withColumn("tpl", template(F.col("tok")))
     df = df.where(F.size("tpl") >= WINDOW)
     df = df.select(*keep, "tok", "tpl", F.explode(F.sequence(F.lit(0), F.size("tpl") - WINDOW)).alias("at"))
-    part = [F.get("tpl", F.col("at") + k) for k in range(WINDOW)]
-    return df.select(*keep, "at", F.xxhash64(*part).alias("h"), "tok", "tpl")
+    part, own = ([F.get(c, F.col("at") + k) for k in range(WINDOW)] for c in ("tpl", "tok"))
+    literal = sum((F.when(x.isin("", NUM, NAME, UNIT), 0).otherwise(1) for x in part), F.lit(0)) >= LITERAL
+    return df.select(*keep, "at", F.when(literal, F.xxhash64(*part)).otherwise(F.xxhash64(F.lit("own"), *own)).alias("h"), literal.alias("literal"), "tok")
 
 
 def bench_windows(benchmark: DataFrame) -> DataFrame:
-    """h, item_id, pos, n_windows, slots: the windows of all items that say something."""
-    clean = benchmark.select("item_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[^\p{L}\p{N}]+", "")).alias("text"))
+    """h, item_id, pos, slots, counts: the windows of all items that say something.
+
+    An item is written in three ways, and coverage is counted for each apart: of all its
+    windows, and of the literal ones where they are half or more; of the literal ones of
+    all ways besides. ``counts`` has a number for each count that the window is part of,
+    and how many windows that count has."""
+    clean = benchmark.select("item_id", F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{M}\p{N}%]+$", "").alias("text"))
     # inside a sentence of a document, an item's first word passes for a name; in a copy in one case, no name does
-    ways = clean.select("item_id", F.explode(F.array(F.col("text"), F.concat(F.lit(NAME), "text"), F.lower("text"))).alias("text"))
-    w = _windows(ways, ["item_id"])
-    literal = F.size(F.filter(F.slice("tpl", F.col("at") + 1, WINDOW), lambda x: ~x.isin("", NUM, NAME, UNIT)))
-    w = w.where(literal >= LITERAL)
-    w = w.select("h", "item_id", F.col("at").alias("pos"), F.slice("tok", F.col("at") + 1, WINDOW).alias("slots"))
-    n = F.size(F.collect_set("pos").over(Window.partitionBy("item_id")))
-    return w.dropDuplicates(["h", "item_id", "pos"]).withColumn("n_windows", n)
+    ways = clean.select("item_id", F.posexplode(F.array(F.col("text"), F.concat(F.lit(NAME), "text"), F.lower("text"))).alias("way", "text"))
+    w = _windows(ways, ["item_id", "way"])
+    w = w.select("h", "item_id", "way", "literal", F.col("at").alias("pos"), F.slice("tok", F.col("at") + 1, WINDOW).alias("slots"))
+    one, item = Window.partitionBy("item_id", "way"), Window.partitionBy("item_id")
+    w = w.withColumns({"n": F.count("*").over(one), "n_literal": F.count_if("literal").over(one), "n_any": F.size(F.collect_set(F.when(F.col("literal"), F.col("pos"))).over(item))})
+    count = lambda k, n: F.struct(k.cast("int").alias("count"), F.col(n).cast("int").alias("n_windows"))
+    counts = F.array_compact(F.array(
+        F.when(F.col("literal"), count(F.lit(-1), "n_any")),
+        F.when(F.col("literal") & (F.col("n_literal") * 2 >= F.col("n")), count(F.col("way"), "n_literal")),
+        F.when(F.col("n_literal") < F.col("n"), count(F.col("way") + 10, "n")),
+    ))
+    return w.groupBy("h", "item_id", "pos").agg(F.first("slots").alias("slots"), F.array_distinct(F.flatten(F.collect_list(counts))).alias("counts"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, coverage, at (first word), n_slots, n_loose, verbatim: every leak.
 
-    Null and empty texts, items of fewer than five words and items whose windows are
-    almost all marks match nothing. Rows of one doc_id are one document; repeated rows
+    Null and empty texts and items of fewer than five words match nothing; where nearly
+    all of an item is marks, only its own values do. Rows of one doc_id are one document; repeated rows
     and items don't change the result. Documents whose doc_id is null are reported under
     it. Other columns are ignored; an empty table on either side gives no leaks."""
     items = materialise(bench_windows(benchmark.dropDuplicates(["item_id"])), "bench")
@@ -82,23 +95,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Da
         w = w.withColumn("tok", F.slice("tok", F.col("at") + 1, WINDOW)).withColumn("zero", F.lit(0))
     else:
         w = w.withColumn("zero", F.col("at"))
-    hit = w.join(side, "h").select("doc_id", "item_id", "n_windows", "pos", (F.col("at") - F.col("pos")).alias("off"), F.slice("tok", F.col("zero") + 1, WINDOW).alias("here"), F.col("slots").alias("there"))
+    hit = w.join(side, "h").select("doc_id", "item_id", "counts", "pos", (F.col("at") - F.col("pos")).alias("off"), F.slice("tok", F.col("zero") + 1, WINDOW).alias("here"), F.col("slots").alias("there"))
     is_slot = lambda x: F.substring(x["there"], 1, 1).isin(NUM, NAME, UNIT)
-    hit = hit.withColumn("slots", F.filter(F.arrays_zip("there", "here"), is_slot)).drop("here", "there")
+    hit = hit.withColumn("slots", F.filter(F.arrays_zip("there", "here"), is_slot)).drop("here", "there").select("*", F.inline("counts")).drop("counts")
     # a document has few windows of an item: the passage's own
-    per = hit.groupBy("doc_id", "item_id", "off", "n_windows").agg(F.collect_set("pos").alias("pos"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    near = Window.partitionBy("doc_id", "item_id").orderBy("off").rangeBetween(-SLACK, SLACK)
+    per = hit.groupBy("doc_id", "item_id", "count", "off", "n_windows").agg(F.collect_set("pos").alias("pos"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    near = Window.partitionBy("doc_id", "item_id", "count").orderBy("off").rangeBetween(-SLACK, SLACK)
     per = per.withColumns({
         "hit": F.size(F.array_distinct(F.flatten(F.collect_list("pos").over(near)))),
         "slots": F.array_distinct(F.flatten(F.collect_list("slots").over(near))),
     })
-    best = per.groupBy("doc_id", "item_id", "n_windows").agg(F.max_by(F.struct("hit", "off", "slots"), F.struct("hit", F.col("off") * -1)).alias("b"))
+    best = per.groupBy("doc_id", "item_id", "count", "n_windows").agg(F.max_by(F.struct("hit", "off", "slots"), F.struct("hit", F.col("off") * -1)).alias("b"))
     best = best.select("doc_id", "item_id", (F.col("b.hit") / F.col("n_windows")).alias("coverage"), F.greatest(F.lit(0), F.col("b.off")).alias("at"), F.col("b.slots").alias("slots"))
     best = best.where(F.col("coverage") >= covered)
     values = F.array_distinct(F.transform("slots", lambda s: s["there"]))
     loose = F.filter(values, lambda v: F.size(F.array_distinct(F.transform(F.filter(F.col("slots"), lambda s: s["there"] == v), lambda s: s["here"]))) > 1)
     best = best.withColumns({"n_slots": F.size(values), "n_loose": F.size(loose), "verbatim": ~F.exists("slots", lambda s: s["there"] != s["here"])})
-    return best.where(F.col("n_loose") <= F.col("n_slots") * LOOSE).drop("slots")
+    best = best.where(F.col("n_loose") <= F.col("n_slots") * LOOSE)
+    row = F.struct("coverage", "at", "n_slots", "n_loose", "verbatim")
+    return best.groupBy("doc_id", "item_id").agg(F.max_by(row, F.struct("coverage", "verbatim", F.col("at") * -1, "n_slots", F.col("n_loose") * -1)).alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -36,6 +36,21 @@ def test_copies_in_one_case(spark):
     assert {k[0] for k in run(spark, docs, [(7, item)])} == {1, 2, 4}
 
 
+def test_copies_of_items_rich_in_names(spark):
+    items = [
+        (1, "In the old house by the sea lived Anna Smith, Ben Jones, Carl White and a dog that never barked"),
+        (2, "The prize went to Anna Smith, Ben Jones, Carl White and Dora Black because their essay on rivers was best."),
+        (3, "How Many Apples Did Anna Smith Give To Ben Jones On Monday Morning?"),
+        (4, "12 14 16 18 20 22 24 26 28 30"),
+    ]
+    docs = [(10 * k, f"This was said before. {t} And this comes after.") for k, t in items] + [(10 * k + 1, t) for k, t in items]
+    docs.append((99, "Where Many Pears Did Otto Brown Take To Carl White On Friday Evening? 11 13 15 17 19 21 23 25 27 29"))
+    docs.append((22, items[1][1].replace("Anna Smith", "Emil Stone").replace("Carl White", "Rosa Green")))
+    got = run(spark, docs, items)
+    assert set(got) == {(10 * k + j, k) for k, _ in items for j in (0, 1)} | {(22, 2)}
+    assert all(r.coverage == 1 for r in got.values())
+
+
 def test_inconsistent_slots_are_not_leaks(spark):
     item = "The number 5 comes first and the number 5 comes second while the number 5 comes third of all"
     same, mixed = item.replace("5", "8"), "The number 1 comes first and the number 2 comes second while the number 3 comes third of all"
