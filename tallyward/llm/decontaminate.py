@@ -86,9 +86,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Da
 
     Null and empty texts and items of fewer than five words match nothing; where nearly
     all of an item is marks, only its own values do. Rows of one doc_id are one document; repeated rows
-    and items don't change the result. Documents whose doc_id is null are reported under
+    and items don't change the result; each text of an item_id, or of none, is an item. Documents whose doc_id is null are reported under
     it. Other columns are ignored; an empty table on either side gives no leaks."""
-    items = materialise(bench_windows(benchmark.dropDuplicates(["item_id"])), "bench")
+    texts = materialise(benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item_id", "text"]), "items")
+    items = materialise(bench_windows(texts.select(F.col("item").alias("item_id"), "text")), "bench")
     side = items if items.count() > BROADCAST_WINDOWS else F.broadcast(items)
     w = _windows(docs, ["doc_id"])
     if side is items:
@@ -113,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Da
     best = best.withColumns({"n_slots": F.size(values), "n_loose": F.size(loose), "verbatim": ~F.exists("slots", lambda s: s["there"] != s["here"])})
     best = best.where(F.col("n_loose") <= F.col("n_slots") * LOOSE)
     row = F.struct("coverage", "at", "n_slots", "n_loose", "verbatim")
-    return best.groupBy("doc_id", "item_id").agg(F.max_by(row, F.struct("coverage", "verbatim", F.col("at") * -1, "n_slots", F.col("n_loose") * -1)).alias("b")).select("doc_id", "item_id", "b.*")
+    return best.groupBy("doc_id", "item_id").agg(F.max_by(row, F.struct("coverage", "verbatim", F.col("at") * -1, "n_slots", F.col("n_loose") * -1)).alias("b")).select("doc_id", F.col("item_id").alias("item"), "b.*").join(texts.select("item", "item_id"), "item").select("doc_id", "item_id", "coverage", "at", "n_slots", "n_loose", "verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def test_copies_of_items_rich_in_names(spark):
     assert all(r.coverage == 1 for r in got.values())
 
 
+def test_each_text_of_an_id_is_an_item(spark):
+    texts = [QUESTION, "Nothing of this kind is ever written in any of those long documents.", "Seven white birds sat on the roof of the house and sang until it rained."]
+    for ids in ((1, 1, 1), (None, None, None)):
+        got = d.leaks(spark.createDataFrame([(k, t, "a", 1) for k, t in enumerate(texts)], DOCS), spark.createDataFrame([(i, t, "t") for i, t in zip(ids, texts)] * 2, BENCH)).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(k, ids[0]) for k in range(3)]
+
+
 def test_inconsistent_slots_are_not_leaks(spark):
     item = "The number 5 comes first and the number 5 comes second while the number 5 comes third of all"
     same, mixed = item.replace("5", "8"), "The number 1 comes first and the number 2 comes second while the number 3 comes third of all"
