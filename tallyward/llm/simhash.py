@@ -174,20 +174,16 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their near copies, one for each; rows without doc_id stay.
+    """One row of docs for each group of near copies: the one of the least doc_id, null last.
 
     Near copies are joined by texts of 0.8 or more of their 5-word shingles in common, all
-    of which ``jaccard.groups`` finds; three bits of a fingerprint miss most of them."""
+    of which ``jaccard.groups`` finds; three bits of a fingerprint miss most of them. Rows
+    count, not ids: different texts of one doc_id, or of none, are apart."""
     numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     rows = materialise(jaccard.groups(numbered), "groups")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = materialise(rows.join(least, "root").select("doc_id", "component_id"), "found")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = numbered.drop("__row").join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    first = rows.groupBy(F.col("root").alias("__root")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    dropped = materialise(rows.join(first, F.col("root") == F.col("__root")).where("row <> least.row").select(F.col("row").alias("__dropped")), "dropped")
+    return numbered.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").select(*docs.columns)
 
 
 def op7_simhash_pivots(spark, sf_dir):

@@ -67,3 +67,10 @@ def test_dedup_drops_what_three_bits_miss(spark):
 
 def test_empty_table(spark):
     assert jaccard.groups(spark.createDataFrame([], SCHEMA).withColumn("__row", F.col("doc_id"))).count() == 0
+
+
+def test_dedup_counts_rows(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, one), (2, one), (2, two), (5, three), (5, one), (None, three), (None, two), (None, "alone, without a number"), (6, two), (6, "of its own kind")]
+    kept = simhash.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(1, one), (2, two), (5, three), (None, "alone, without a number"), (6, "of its own kind")]))
