@@ -94,7 +94,7 @@ def grid(raw: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
         raise SourceError("no rows")
     at = H.header_row([r.cells for r in top], headers)
     names = list(top[at].cells)
-    width = max(len(r.cells) for r in top)
+    width = raw.agg(F.max(F.size("cells"))).first()[0]
     return _named(raw, F.col("cells"), top[at].line_no, names + [None] * (width - len(names)))
 
 
@@ -102,14 +102,32 @@ def _filled(c) -> Column:
     return F.exists(c, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
 
 
+def csv_width(spark: SparkSession, path: str, d: str, enc: str) -> int:
+    """Cells of the widest row of the whole file; quotes may hold line ends and delimiters."""
+
+    def widest(batches):
+        import csv as reader
+        import io
+
+        import pyarrow as pa
+
+        reader.field_size_limit(1 << 31)
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                rows = reader.reader(io.StringIO(content.decode(enc, errors="replace"), newline=""), delimiter=d)
+                yield pa.RecordBatch.from_arrays([pa.array([max(map(len, rows), default=1)], pa.int32())], names=["width"])
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(widest, "width int")
+    return found.agg(F.max("width")).first()[0] or 1
+
+
 def csv(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -> DataFrame:
     """Delimited files; the delimiter and the encoding are found out. Every cell is text; quotes may hold line ends."""
     head = first_bytes(spark, path)
     d, enc = sniff_delimiter(decoded(head)) or ",", sniff_encoding(head)
-    sample = decoded(head).splitlines()
-    width = max([x.count(d) + 1 for x in sample[:50]] or [1])
+    width = csv_width(spark, path, d, enc)
     schema = ", ".join(f"c{k} string" for k in range(width + 8))
-    raw = spark.read.csv(path, sep=d, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", schema=schema, encoding=spark_encoding(enc), maxCharsPerColumn=-1)
+    raw = spark.read.csv(path, sep=d, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", schema=schema, encoding=spark_encoding(enc), maxCharsPerColumn=-1, maxColumns=width + 9)
     cells = F.array(*[as_read(F.col(c), enc) for c in raw.columns[:width]])
     rows = raw.select(F.monotonically_increasing_id().alias("line_no"), cells.alias("cells")).where(_filled("cells"))
     return grid(rows, headers)
@@ -160,35 +178,35 @@ def blocks_of(spark: SparkSession, path: str) -> DataFrame:
 def _names(pairs: DataFrame) -> list[str]:
     """Distinct keys in order of first appearance: a schema, so it comes to the driver."""
     seen = pairs.select("block_no", F.posexplode("pairs").alias("k", "p")).groupBy("p.key").agg(F.min(F.struct("block_no", "k")).alias("at"))
-    return [r.key for r in seen.orderBy("at").limit(500).collect()]
+    return [r.key for r in seen.orderBy("at").collect()]
 
 
-def blocks_as_tables(spark: SparkSession, path: str, headers: dict[str, str] | None = None, most: int = 200) -> DataFrame | None:
+def blocks_as_tables(spark: SparkSession, path: str, headers: dict[str, str] | None = None, peek: int = 200) -> DataFrame | None:
     """A text of several tables with a blank line between, each with its headers: standardised and stacked.
 
     A block of one line without known headers is a title; one of several lines, or fewer
-    than two tables, means the text is something else (None). The blocks' first lines come
-    to the driver; texts of more than ``most`` blocks are something else too."""
+    than two tables, means the text is something else (None). The first lines of ``peek``
+    blocks come to the driver, which tell most other texts, then each different header."""
     from ..operators.standard import standardise
 
-    blocks = blocks_of(spark, path).where(F.trim("block") != "")
-    tops = blocks.select("block_no", F.slice(F.split("block", "\n"), 1, 3).alias("top")).orderBy("block_no").limit(most + 1).collect()
-    if not 2 <= len(tops) <= most:
+    def delimiter(top):
+        d = sniff_delimiter("\n".join(top))
+        return d if d and H.score([c.strip() for c in top[0].split(d)], headers) >= 2 else None
+
+    blocks = blocks_of(spark, path).select("block_no", F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "").alias("lines")).where(F.size("lines") > 0)
+    several = blocks.where(F.size("lines") >= 2).withColumns({"head": F.get("lines", 0), "top": F.slice("lines", 1, 3)})
+    first = several.orderBy("block_no").limit(peek).select("top").collect()
+    if len(first) < 2 or not all(delimiter(r.top) for r in first):
         return None
-    found = []
-    for r in tops:
-        lines_ = [x for x in r.top if x.strip()]
-        d = sniff_delimiter("\n".join(lines_))
-        if len(lines_) >= 2 and d and H.score([c.strip() for c in lines_[0].split(d)], headers) >= 2:
-            found.append((r.block_no, d))
-        elif len(lines_) >= 2:
-            return None
-    if len(found) < 2:
+    heads = several.groupBy("head").agg(F.min(F.struct("block_no", "top")).alias("at")).orderBy("at.block_no").collect()
+    found = [(r.head, r["at"].block_no, delimiter(r["at"].top)) for r in heads]
+    if not all(d for _, _, d in found):
         return None
     out = None
-    for k, d in found:
-        rows = blocks.where(F.col("block_no") == k).select(F.posexplode(F.split("block", "\n")).alias("line_no", "line"))
-        t = standardise(delimited(rows.withColumn("line_no", F.col("line_no") + k * F.lit(1 << 32)), d, headers), headers).df
+    for head, k, d in found:
+        rows = several.where(F.col("head") == head).select("block_no", F.posexplode("lines").alias("pos", "line")).where((F.col("pos") > 0) | (F.col("block_no") == k))
+        rows = rows.select((F.col("pos") + F.col("block_no") * F.lit(1 << 32)).alias("line_no"), "line")
+        t = standardise(delimited(rows, d, headers), headers).df
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 

@@ -142,3 +142,20 @@ def test_groups_of_positioned_rows(spark):
     rows = [(1, 1, ["title"]), (1, 2, ["Login", "Status"]), (1, 3, ["ann", "Active"]), (2, 1, ["Login", "Status"]), (2, 2, ["bob", "Active"]), (2, 3, ["odd", "row", "here"]), (3, 1, ["User name", "Role", "System"]), (3, 2, ["cy", "r", "s"])]
     got = S.table_groups(spark.createDataFrame(rows, "page int, row int, cells array<string>")).orderBy("page", "row").collect()
     assert [(r.group_no, r.cells[0]) for r in got] == [(1, "Login"), (1, "ann"), (1, "bob"), (2, "User name"), (2, "cy")]
+
+
+def test_wide_rows_far_down(spark, tmp_path):
+    far = "\n".join([f"u{i},ERP,Active" for i in range(600)] + [",".join(["last", "ERP", "Active", *(f"x{k}" for k in range(20))]), '"in ""q"", a\nb",ERP,Active'])
+    got = S.csv(spark, put(tmp_path, "x.csv", "username,system,account_status\n" + far + "\n"))
+    assert len(got.columns) == 1 + 23 and got.count() == 602
+    assert [r for r in got.collect() if r.username == "last"][0][-1] == "x19"
+    lines = spark.createDataFrame([(k, x) for k, x in enumerate(["username;system", *["a;b"] * 20, "c;d;e;f"])], "line_no long, line string")
+    assert len(S.delimited(lines, ";").columns) == 1 + 4
+
+
+def test_all_keys_and_all_tables(spark, tmp_path):
+    entries = "\n\n".join(f"dn: cn=u{i}\nsAMAccountName: u{i}\nextra{i}: v{i}" for i in range(520))
+    assert {"extra0", "extra519"} <= set(S.ldif(spark, put(tmp_path, "x.ldif", entries)).columns)
+    tables = "\n\n".join(("username;system\n" if i % 2 else "username;status\n") + f"u{i};s{i}" for i in range(230))
+    got = S.text(spark, put(tmp_path, "x.txt", tables)).collect()
+    assert {r.username for r in got} == {f"u{i}" for i in range(230)} and len(got) == 230
