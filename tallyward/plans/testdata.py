@@ -49,7 +49,8 @@ HR = """SELECT c_custkey AS line_no, CASE WHEN c_custkey % 3 = 0 THEN 'C' ELSE '
   CASE c_mktsegment WHEN 'BUILDING' THEN 'Terminated' WHEN 'MACHINERY' THEN 'On leave' ELSE 'Active' END AS hr_employee_status,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'HR ' || c_mktsegment END AS hr_department FROM {customer} WHERE c_custkey % 7 <> 0"""
 HR_NAMES = """SELECT line_no, full_name, CASE WHEN line_no % 2 = 0 THEN 'Active' ELSE 'Terminated' END AS hr_employee_status FROM ({accounts}) a WHERE full_name IS NOT NULL AND line_no % 5 < 2 AND line_no < 400"""
-PEOPLE = """SELECT DISTINCT full_name FROM ({accounts}) p WHERE full_name IS NOT NULL AND line_no % 41 = 3"""
+#: Everybody; some under another first name, so that there are accounts that match nobody.
+PEOPLE = """SELECT DISTINCT CASE WHEN full_name LIKE 'Greta%' OR full_name LIKE 'Felix%' THEN 'Zoltan' || substr(full_name, 6) ELSE full_name END AS full_name FROM ({accounts}) p WHERE full_name IS NOT NULL"""
 LOG = """SELECT lower(trim(username)) || '::' || lower(trim(system)) AS key, CAST(line_no * 10 + l.seq AS BIGINT) AS seq, CASE (line_no + l.seq) % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'revoked' WHEN 2 THEN 'pending' ELSE 'modified' END AS status,
   'auditor' || CAST(l.seq AS STRING) AS validated_by, '' AS comment, '2001-07-0' || CAST(l.seq AS STRING) AS ts
   FROM ({accounts}) a CROSS JOIN (SELECT 1 AS seq UNION ALL SELECT 2 UNION ALL SELECT 3) l WHERE username IS NOT NULL AND line_no % 5 >= l.seq"""

@@ -176,3 +176,12 @@ def test_expired_acceptances_and_recognised_rows(spark):
     df = spark.createDataFrame([("a", "s", ["is_dormant"], True), ("b", "s", [], False)], "username string, system string, expired_finding_keys array<string>, _ocr_source boolean")
     assert [r.findings for r in reports.with_expired_acceptances(df).collect()] == ["is_dormant"]
     assert reports.read_by_recognition(df).first().recognised == 1
+
+
+def test_the_list_of_people_is_whole(spark):
+    from tallyward.plans import testdata as D
+
+    d = "/root/testdata/sf0.001"
+    names = {r.full_name for r in D.accounts(spark, d).select("full_name").where("full_name is not null").distinct().collect()}
+    listed = {r.full_name for r in D.view(spark, d, D.PEOPLE).collect()}
+    assert {x for x in names if not x.startswith(("Greta", "Felix"))} <= listed and names - listed
