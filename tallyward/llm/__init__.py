@@ -3,13 +3,15 @@
 
 from importlib import import_module
 
+from .common import tidy
+
 _MODULES = ("decontaminate", "tokencount", "toxicity", "quality", "vectors", "chat", "simhash", "sharding", "mixing", "htmltext")
 
 
 def queries():
     out = {}
     for name in _MODULES:
-        out.update(import_module(f"{__name__}.{name}").QUERIES)
+        out.update({key: tidy(query) for key, query in import_module(f"{__name__}.{name}").QUERIES.items()})
     return out
 
 

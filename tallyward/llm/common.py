@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,6 +71,23 @@ def release(*frames: DataFrame) -> None:
             drop(df.sparkSession, path)
 
 
+def tidy(query):
+    """The query with its result as the only table that it leaves, where it keeps any in between."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        before = set(tables(spark))
+        out = query(spark, sf_dir)
+        between = set(tables(spark)) - before
+        if between:
+            out = materialise(out, query.__name__)
+        for path in between:
+            drop(spark, path)
+        return out
+
+    return run
+
+
 def forest(pairs: np.ndarray) -> np.ndarray:
     """Spanning links (node, smallest node of its group) of an (n, 2) array."""
     nodes, at = np.unique(pairs, return_inverse=True)

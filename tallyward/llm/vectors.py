@@ -2,11 +2,14 @@
 
 Equal vectors are one class. Classes are dealt to shards by hash; each shard builds its
 graph in one task (bounded by ``SHARD``) and every class queries every shard, in blocks.
-A beam that ends full of links is widened until it isn't; and each block audits its
-recall, on its own queries and on shard vectors moved to a known cosine, against brute
-force, widening all beams until the audit passes. What the graphs find is verified by
-cosine in double precision. A task puts out each query's number of links in its shard and
-links that span what it found, never all pairs; components are united from the latter.
+Each block audits its recall, on its own queries and on shard vectors moved to a known
+cosine, against brute force, widening all beams until the audit passes. A beam that ends
+full of links stands in a dense place: one of those queries leads, a walk over the ground
+layer from its beam gathers all nodes within twice the links' angle, and as any link of a
+query within that angle of the leader is among them, all such queries are compared with
+them in one matrix product. Cosines that single precision can't decide are computed in
+double precision. A task puts out each query's number of links in its shard and links that
+span what it found, never all pairs; components are united from the latter.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ SHARD, LEAST = 65_536, 4
 #: Queries of a block.
 BLOCK = 16_384
 #: Links of a node on the ground layer (half above), beam while building, first beam of a search.
-DEGREE, BUILD, BEAM = 24, 48, 32
-#: Recall that an audit asks for, its queries and probes.
-RECALL, AUDIT = 0.99, 96
-#: Queries whose links are held at once.
-HELD = 512
+DEGREE, BUILD, BEAM = 24, 48, 16
+#: Recall that an audit asks for, recall below which a run fails, an audit's queries and probes.
+RECALL, LEAST_RECALL, AUDIT = 0.99, 0.9, 96
+#: Queries that are searched at once, and cosines that are held at once.
+HELD, CELLS = 512, 1 << 23
 
 
 class Graph:
@@ -174,22 +177,62 @@ class Graph:
             entry = self._layer(q, entry, k, 8)[0]
         return self._layer(q, entry, 0, beam)
 
-    def links(self, q: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) at the cosine or more; beams that end full of links are widened."""
-        left, found = np.arange(len(q)), []
+    def around(self, p: np.ndarray, entry: np.ndarray, least: float) -> np.ndarray:
+        """Nodes at cosine ``least`` or more with p that a walk over such nodes, along ground links either way, reaches from entry."""
+        if not hasattr(self, "back"):
+            flat = self.layers[0].ravel()
+            order = np.argsort(flat, kind="stable")
+            self.back = order // self.layers[0].shape[1], np.searchsorted(flat[order], np.arange(len(self.x) + 1))
+        source, start = self.back
+        seen = np.zeros(len(self.x), dtype=bool)
+        front, out = np.unique(entry[entry >= 0]), []
+        while len(front):
+            seen[front] = True
+            front = front[self.x[front] @ p >= least]
+            out.append(front)
+            size = start[front + 1] - start[front]
+            into = source[np.arange(size.sum()) + np.repeat(start[front] - np.r_[0, np.cumsum(size)[:-1]], size)] if len(front) else front
+            front = np.unique(np.concatenate([self.layers[0][front].ravel(), into]))
+            front = front[front >= 0]
+            front = front[~seen[front]]
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
+
+    def pieces(self, q: np.ndarray, cosine: float, beam: int):
+        """What has cosine or more: (queries, nodes, None), a pair at each place, or (queries, nodes, matrix of cosines)."""
+        ids, sims = self.search(q, min(beam, len(self.x)))
+        hit = (ids >= 0) & (sims >= cosine)
+        full = hit.all(axis=1) & (ids.shape[1] < len(self.x))
+        row, col = np.nonzero(hit & ~full[:, None])
+        yield row, ids[row, col], None
+        left, reach = np.flatnonzero(full), 2 * math.acos(min(1.0, cosine))
         while len(left):
-            ids, sims = self.search(q[left], min(beam, len(self.x)))
-            hit = (ids >= 0) & (sims >= cosine)
-            full = hit.all(axis=1) & (ids.shape[1] < len(self.x))
-            row, col = np.nonzero(hit & ~full[:, None])
-            found.append(np.stack([left[row], ids[row, col]], axis=1))
-            left, beam = left[full], beam * 2
-        out = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+            p = q[left[0]]
+            near = q[left] @ p >= cosine
+            near[0] = True
+            nodes = self.around(p, ids[left[0]], math.cos(reach) if reach < math.pi else -2.0)
+            step = max(1, CELLS // max(len(nodes), 1))
+            for a in range(0, int(near.sum()), step):
+                some = left[near][a : a + step]
+                yield some, nodes, q[some] @ self.x[nodes].T
+            left = left[~near]
+
+    def links(self, q: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) at the cosine or more, as pairs: for a few queries."""
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for rows, nodes, sims in self.pieces(q, cosine, beam):
+            if sims is not None:
+                i, j = np.nonzero(sims >= cosine)
+                rows, nodes = rows[i], nodes[j]
+            found.append(np.stack([rows, nodes], axis=1))
+        out = np.concatenate(found)
         return out[:, 0], out[:, 1]
 
 
 def audited_beam(graph: Graph, q: np.ndarray, cosine: float = COSINE, recall: float = RECALL, beam: int = BEAM, seed: int = 3) -> tuple[int, float]:
-    """The first beam of a search of q that the audit asks for, and the recall that it measured."""
+    """The first beam of a search of q that the audit asks for, and the recall that it measured.
+
+    Recall is the mean over those audited queries that have a link, each with the share of
+    its own links, so that a query in a large group weighs no more than one with one link."""
     rng = np.random.default_rng(seed)
     probes = graph.x[rng.integers(0, len(graph.x), AUDIT)].astype(np.float64)
     noise = rng.standard_normal(probes.shape)
@@ -198,15 +241,31 @@ def audited_beam(graph: Graph, q: np.ndarray, cosine: float = COSINE, recall: fl
     near = min(1.0, cosine + 0.3 * (1 - cosine))
     probes = near * probes + math.sqrt(1 - near * near) * noise
     audit = np.concatenate([q[rng.integers(0, len(q), AUDIT)], probes.astype(np.float32)])
-    truth = set(zip(*(z.tolist() for z in np.nonzero(audit @ graph.x.T >= cosine))))
+    truth = audit @ graph.x.T >= cosine
+    has, many = truth.any(axis=1), truth.sum(axis=1)
     while True:
-        got = set(zip(*(z.tolist() for z in graph.links(audit, cosine, beam))))
-        r = len(truth & got) / len(truth) if truth else 1.0
+        i, j = graph.links(audit, cosine, beam)
+        got = np.bincount(i[truth[i, j]], minlength=len(audit))
+        r = float((got[has] / many[has]).mean()) if has.any() else 1.0
         if r >= recall or beam >= len(graph.x):
             return beam, r
         beam *= 2
 
 
+def spanning(rows: np.ndarray, nodes: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Links (name, name) that join what a matrix of hits joins; ``rows`` and ``nodes`` name its sides."""
+    label = np.where(hit.any(axis=1), np.arange(len(rows)), len(rows))
+    while True:
+        of = np.where(hit, label[:, None], len(rows)).min(axis=0, initial=len(rows))
+        new = np.minimum(label, np.where(hit, of[None, :], len(rows)).min(axis=1, initial=len(rows)))
+        if (new == label).all():
+            break
+        label = new
+    names, told = np.concatenate([rows, nodes]), np.concatenate([label, of])
+    ok = told < len(rows)
+    return np.stack([names[ok], rows[told[ok]]], axis=1)
+
+
 def _units(batches):
     """dim and unit vector (doubles as bytes) of each vector; dim 0 where it can't link."""
     import pyarrow as pa
@@ -257,34 +316,46 @@ def _open(packed: bytes):
 def _query(batches):
     """Rows by (shard, dim, block), the graph before its queries.
 
-    Out: (class, null, vectors of the shard that it links with), and links (class, class, null) that span what was found."""
+    Out: (class, null, vectors of the shard that it links with, audited recall), and links
+    (class, class, null, null) that span what was found."""
     import pyarrow as pa
 
     graph = cls = size = x = key = None
     ids, units = [], []
 
-    def rows(a, b, n):
-        kinds = (a, b, n)
-        some = next(len(k) for k in kinds if k is not None)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) if k is not None else pa.nulls(some, pa.int64()) for k in kinds], names=["a", "b", "n"])
+    def rows(a, b=None, n=None, recall=None):
+        of = lambda v, kind: pa.array(v, kind) if v is not None else pa.nulls(len(a), kind)
+        return pa.RecordBatch.from_arrays([of(a, pa.int64()), of(b, pa.int64()), of(n, pa.int64()), of(recall, pa.float64())], names=["a", "b", "n", "recall"])
 
     def answer():
         if graph is None or not ids:
             return
         q, own = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(ids), -1), np.asarray(ids)
-        single, least = q.astype(np.float32), COSINE - 1e-4
-        beam, _ = audited_beam(graph, single, least)
+        single, unsure = q.astype(np.float32), max(1e-4, 1e-6 * q.shape[1])  # far above single precision's error
+        least = COSINE - unsure
+        beam, recall = audited_beam(graph, single, least)
+        count = np.zeros(len(ids), dtype=np.int64)
         for a in range(0, len(ids), HELD):
-            i, j = graph.links(single[a : a + HELD], least, beam)
-            i = i + a
-            ok = own[i] != cls[j]
-            for k in range(0, len(i), 65536):
-                ok[k : k + 65536] &= np.einsum("nd,nd->n", q[i[k : k + 65536]], x[j[k : k + 65536]]) >= COSINE
-            i, j = i[ok], j[ok]
-            yield rows(own[a : a + HELD], None, np.bincount(i - a, size[j], minlength=len(own[a : a + HELD])).astype(np.int64))
-            if len(i):
-                f = forest(np.stack([own[i], cls[j]], axis=1))
-                yield rows(f[:, 0], f[:, 1], None)
+            for i, j, sims in graph.pieces(single[a : a + HELD], least, beam):
+                i = i + a
+                if sims is None:
+                    ok = own[i] != cls[j]
+                    ok &= np.einsum("nd,nd->n", q[i], x[j]) >= COSINE
+                    i, j = i[ok], j[ok]
+                    np.add.at(count, i, size[j])
+                    pairs = forest(np.stack([own[i], cls[j]], axis=1)) if len(i) else ()
+                else:
+                    hit = sims >= COSINE
+                    r, c = np.nonzero(np.abs(sims - COSINE) <= unsure)
+                    for k in range(0, len(r), 65536):
+                        rr, cc = r[k : k + 65536], c[k : k + 65536]
+                        hit[rr, cc] = np.einsum("nd,nd->n", q[i[rr]], x[j[cc]]) >= COSINE
+                    hit &= own[i][:, None] != cls[j][None, :]
+                    count[i] += hit @ size[j]
+                    pairs = spanning(own[i], cls[j], hit)
+                if len(pairs):
+                    yield rows(pairs[:, 0], pairs[:, 1])
+        yield rows(own, n=count, recall=np.full(len(ids), recall))
 
     for b in batches:
         for shard, dim, block, cl, data in zip(*(c.to_pylist() for c in b.columns)):
@@ -299,7 +370,10 @@ def _query(batches):
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors.
+    """vec_id, n_links, component_id, kept, recall for each row of vectors.
+
+    ``recall`` is the least that the audits of the searches for a vector measured, null for
+    one that can't link; a run with one under LEAST_RECALL raises an error.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths. Equal vectors link as any others;
@@ -320,15 +394,18 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     asked = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.pmod(F.xxhash64("k2"), F.lit(blocks)).cast("int").alias("block"), "cls", F.col("unit").alias("data"))
     shown = graphs.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("long").alias("cls"), F.col("graph").alias("data"))
     rows = asked.unionByName(shown).repartition(max(shards * blocks, 2), "shard", "dim", "block").sortWithinPartitions("shard", "dim", "block", F.col("cls").asc_nulls_first())
-    found = materialise(rows.mapInArrow(_query, "a long, b long, n long"), "found")
-    degree = found.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("others"))
+    found = materialise(rows.mapInArrow(_query, "a long, b long, n long, recall double"), "found")
+    worst = found.agg(F.min("recall")).first()[0]
+    if worst is not None and worst < LEAST_RECALL:
+        raise ValueError(f"an audit found a recall of {worst:.3f}")
+    degree = found.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("others"), F.min("recall").alias("recall"))
     named = classes.join(degree, classes.cls == degree.c, "left").join(components(found.where("b is not null").select("a", "b")), F.col("cls") == F.col("node"), "left")
-    named = named.select("k1", "k2", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("root", "cls").alias("root"))
+    named = named.select("k1", "k2", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("root", "cls").alias("root"), "recall")
     least = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("comp"))
-    named = named.join(least, F.col("root") == F.col("r")).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "links", "comp")
+    named = named.join(least, F.col("root") == F.col("r")).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "links", "comp", "recall")
     out = units.join(named, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")) & (F.col("dim") > 0), "left")
     comp = F.when(F.col("dim") > 0, F.col("comp")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"), "recall")
 
 
 def op5_hnsw_links(spark, sf_dir):

@@ -32,6 +32,49 @@ def test_graph_finds_links_and_large_groups():
     assert recall >= v.RECALL and (got & truth).sum() / truth.sum() > 0.97
 
 
+def test_large_group_beside_sparse_links(spark):
+    """A third of the vectors in one group: all its links, and the few of the others, at either size."""
+    rng = np.random.default_rng(4)
+    for n in (900, 3600):
+        x = rng.standard_normal((n, 32))
+        x[: n // 3] = x[0] + 0.1 * rng.standard_normal((n // 3, 32))
+        x[n // 2 : n // 2 + 100] = x[n // 2 + 100 : n // 2 + 200] + 0.1 * rng.standard_normal((100, 32))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        truth = unit @ unit.T >= 0.95
+        g = v.Graph(unit)
+        beam, recall = v.audited_beam(g, unit.astype(np.float32))
+        i, j = g.links(unit.astype(np.float32), 0.95, beam)
+        got = np.zeros_like(truth)
+        got[i, j] = True
+        assert recall >= v.RECALL and not (got & (unit @ unit.T < 0.95 - 1e-5)).any()
+        mean = (got & truth).sum(axis=1) / truth.sum(axis=1)
+        assert mean.mean() > 0.99 and mean[: n // 3].min() == 1.0
+        np.fill_diagonal(truth, False)
+        table = {r.vec_id: r for r in v.near_vectors(spark.createDataFrame([(k, [float(z) for z in r], 0, "") for k, r in enumerate(x)], "vec_id long, embedding array<double>, label int, n_links string")).collect()}
+        links = np.array([table[k].n_links for k in range(n)])
+        assert (links[: n // 3] == truth.sum(axis=1)[: n // 3]).all() and links.sum() >= 0.999 * truth.sum()
+        assert {table[k].component_id for k in range(n // 3)} == {0} and min(r.recall for r in table.values()) >= v.LEAST_RECALL
+
+
+def test_spanning_joins_what_hits_join():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        hit = rng.random((int(rng.integers(1, 12)), int(rng.integers(0, 12)))) < 0.15
+        rows, nodes = np.arange(len(hit)), 100 + np.arange(hit.shape[1])
+        i, j = np.nonzero(hit)
+        group = lambda p: {frozenset(x) for x in _groups(p)}
+        assert group(np.stack([rows[i], nodes[j]], axis=1)) == group(v.spanning(rows, nodes, hit))
+
+
+def _groups(pairs):
+    of = {}
+    for a, b in pairs.tolist():
+        joined = of.setdefault(a, {a}) | of.setdefault(b, {b})
+        for k in joined:
+            of[k] = joined
+    return [s for s in of.values() if len(s) > 1]
+
+
 def test_table_agrees_with_brute_force(spark):
     rng = np.random.default_rng(2)
     x = clusters(rng, 1200)
