@@ -88,6 +88,22 @@ def tidy(query):
     return run
 
 
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add: each with as many underscores before it as df's own columns leave free."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def columns_of(df: DataFrame) -> list:
+    """The columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def forest(pairs: np.ndarray) -> np.ndarray:
     """Spanning links (node, smallest node of its group) of an (n, 2) array."""
     nodes, at = np.unique(pairs, return_inverse=True)
@@ -140,7 +156,9 @@ def components(links: DataFrame) -> DataFrame:
         star = new
         now = tuple(star.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first())
         if now == before:
-            return star.toDF("node", "root")
+            out = star.toDF("node", "root")
+            out._tallyward_path = star._tallyward_path
+            return out
         before = now
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import components, forest, materialise, table
+from .common import columns_of, components, forest, materialise, new_names, release, table
 
 RADIUS = 3
 WIDTHS = (13, 13, 13, 13, 12)
@@ -176,14 +176,19 @@ def groups(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of near copies: the one of the least doc_id, null last.
 
-    Near copies are joined by texts of 0.8 or more of their 5-word shingles in common, all
-    of which ``jaccard.groups`` finds; three bits of a fingerprint miss most of them. Rows
-    count, not ids: different texts of one doc_id, or of none, are apart."""
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = materialise(jaccard.groups(numbered), "groups")
-    first = rows.groupBy(F.col("root").alias("__root")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
-    dropped = materialise(rows.join(first, F.col("root") == F.col("__root")).where("row <> least.row").select(F.col("row").alias("__dropped")), "dropped")
-    return numbered.join(dropped, F.col("__row") == F.col("__dropped"), "left_anti").select(*docs.columns)
+    Near copies are joined by texts of 0.8 or more of their 5-word shingles in common.
+    Fingerprints of these shingles bring close ones together (``links``), each link
+    verified on the whole sets; ``jaccard.groups`` then finds every pair that three bits
+    miss. Rows count, not ids: different texts of one doc_id, or of none, are apart. Null
+    and empty texts are copies of each other; long texts are taken whole; of equal rows
+    one stays; columns of any name pass through; an empty table gives an empty table."""
+    row, dropped_row = new_names(docs, "row", "dropped")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = jaccard.groups(numbered.select(row, "doc_id", "text"), row, near=links)
+    first = rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    dropped = materialise(rows.join(first, F.col("root") == F.col("of")).where("row <> least.row").select(F.col("row").alias(dropped_row)), "dropped")
+    release(rows)
+    return numbered.join(dropped, F.col(row) == F.col(dropped_row), "left_anti").select(*columns_of(docs))
 
 
 def op7_simhash_pivots(spark, sf_dir):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyward.llm import jaccard, simhash
@@ -65,6 +66,31 @@ def test_dedup_drops_what_three_bits_miss(spark):
     assert kept.columns == ["doc_id", "text"] and {r.doc_id for r in kept.collect()} == {3, 5}
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 0), (0, 3), (1, 1), (40, 50), (64, 65), (100, 120), (900, 1100), (5000, 5000)):
+        common = rng.integers(0, 2**63, min(n, m) // 2, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k - len(common), dtype=np.uint64)])) for k in (n, m))
+        apart = len(set(a.tolist()) ^ set(b.tolist()))
+        assert jaccard.differing(jaccard.bitmap(a), jaccard.bitmap(b)) <= apart
+        assert jaccard.differing(jaccard.bitmap(a), jaccard.bitmap(a)) == 0
+
+
+def test_links_tried_first_do_not_change_the_groups(spark):
+    rows = texts(2, 120)
+    got = {}
+    for r in jaccard.groups(spark.createDataFrame(rows, SCHEMA).withColumn("__row", F.col("doc_id")), near=simhash.links).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    assert {frozenset(x) for x in got.values()} == brute(rows)
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["doc_id", "text", "row", "dropped", "_row", "a.b", "cls", "__row"]
+    kept = simhash.dedup(spark.createDataFrame([(2, text, 1, 1, 1, 1, 1, 7), (1, text, 2, 2, 2, 2, 2, 8)], names))
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == [(1, text, 2, 2, 2, 2, 2, 8)]
+
+
 def test_empty_table(spark):
     assert jaccard.groups(spark.createDataFrame([], SCHEMA).withColumn("__row", F.col("doc_id"))).count() == 0
 
