@@ -1,3 +1,9 @@
+import math
+import random
+import time
+
+import pytest
+
 from tallyward.llm import htmltext as h
 
 SCHEMA = "page_id long, url string, html string, text string"
@@ -53,3 +59,77 @@ def test_table(spark):
     got = h.extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted([("1", WANT, len(WANT))] * 2 + [("None", "", 0), ("3", "", 0)])
     assert h.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def chain(page, k):
+    return [] if k < 0 else [*chain(page, page.above[k]), k]
+
+
+def brute_scores(page):
+    """The ratios by their definition: every path asks every block."""
+    rows = []
+    for k, t, n in zip(page.path, page.text, page.linked):
+        size = sum(c != " " for c in t)
+        rows.append((chain(page, k), max(0, size - n), sum(c in ".,;:!?…。，、！？；：" for c in t) * max(0, size - n) / size))
+    mean = lambda some, at: sum(r[at] for r in some) / len(some) if some else 0.0
+
+    def smoothed(k, at):
+        if page.base[k] == k:
+            return mean([r for r in rows if page.base[r[0][-1]] == k], at)
+        # blocks of elements that start anew lean on those
+        own = [r for r in rows if k in r[0] and all(page.base[x] != x for x in r[0][r[0].index(k) + 1 :])]
+        return 0.25 * mean(own, at) + 0.75 * smoothed(page.above[k], at)
+
+    full = math.log1p(200) * math.log1p(4)
+    score = [min(1.0, math.log1p(smoothed(k, 1)) * math.log1p(smoothed(k, 2) + 0.5) / full) * page.prior[k] for k in range(len(page.above))]
+    weight = sum(r[1] * score[r[0][-1]] for r in rows)
+    return score, 0.25 * sum(r[1] * score[r[0][-1]] ** 2 for r in rows) / weight if weight else 0.0
+
+
+def random_page(rng):
+    def some(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            words = " ".join(rng.choice(["one", "two,", "three.", "<b>four</b>", '<a href="x">five six</a>', "seven!"]) for _ in range(rng.randint(1, 40)))
+            return f"<p>{words}</p>" if kind < 0.2 else words
+        tag = rng.choice(["div", "div class=a", 'div class="b c"', "section", "article", "main", "nav", "aside", "ul", "li", "table", "td", 'div class="ad-slot"', "h2", "form", "blockquote"])
+        return f"<{tag}>" + " ".join(some(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag.split()[0]}>"
+
+    return "<html><body>" + "".join(some(4) for _ in range(3)) + "</body></html>"
+
+
+def test_scores_agree_with_their_definition():
+    rng = random.Random(7)
+    changed = 0
+    for _ in range(200):
+        page = h.Page(random_page(rng))
+        score, least = h.path_scores(page)
+        want, want_least = brute_scores(page)
+        assert score.tolist() == pytest.approx(want) and least == pytest.approx(want_least)
+        changed += any(score[k] < least or score[k] == 0 for k in page.path)
+    assert changed > 100  # the scores decide
+
+
+def test_scores_decide_without_names():
+    text = "".join(f"<p>{LONG}{i}</p>" for i in range(4))
+    page = f"<body><div class=top><span>12 May</span> <span>Log out</span></div><div class=x><p>{LONG}</p>{text}<ul><li>one, two<li>three</ul></div><div class=end>All rights reserved 2020</div></body>"
+    got = h.main_text(page)
+    assert got.startswith(LONG[:20]) and got.endswith("one, two three")
+    assert h.main_text(f"<div class=x><p>{LONG}</p>{text}</div><div class=y>{'<a href=x>Some other story.</a> ' * 40}</div>").endswith(f"{LONG}3")
+
+
+def test_attributes_and_hidden_parts():
+    assert h.main_text(f'<article><p title="the hidden truth">{LONG}</p><p hidden>{LONG}no</p><p>a<span style="display: none">b<span>c</span>d</span>e <b class="notice">f</b></p></article>') == LONG + "ae f"
+    assert h.main_text(f'<article><header><h1>Title</h1></header><p>{LONG}</p><footer>no</footer></article><header>no</header>') == f"Title {LONG.strip()}"
+    assert h.main_text(f'<article class="post category-notices"><p>{LONG}</p></article><article class="comment"><p>{LONG}no</p></article>') == LONG.strip()
+    assert h.main_text(f'<form><div class="menu">no, no.</div><div><p>{LONG}</p></div></form>') == LONG.strip()
+    assert h.main_text(f'<p class="a>b" id=c>{LONG}</p><p data-x=\'>\'>x&#0;&#xD800;&#{"9" * 5000};</p>').startswith(LONG)
+
+
+def test_broken_pages_take_time_by_their_length():
+    parts = ("<div>x", "<a ", "<button>", '<p title="x>y', "</p>x", "<", "<!-- ", "<ul><li>x", "<a =\'\"> \'\"> x", "<span hidden>", "<!x", "<h1>a", "</section>", "<table><tr><td>x")
+    start = time.process_time()
+    for p in parts:
+        h.main_text(p * (1_000_000 // len(p)))
+    assert time.process_time() - start < 60
+    assert h.main_text("<div>" * 50_000 + LONG) == LONG.strip()
