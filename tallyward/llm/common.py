@@ -71,6 +71,15 @@ def release(*frames: DataFrame) -> None:
             drop(df.sparkSession, path)
 
 
+#: Rows of a few numbers up to which a table is broadcast: some 30 MB.
+BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table of a few numbers in a row, broadcast if it has BROADCAST rows at most; beyond, a join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def tidy(query):
     """The query with its result as the only table that it leaves, where it keeps any in between."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import columns_of, components, forest, materialise, new_names, release, table
+from .common import columns_of, components, forest, materialise, new_names, release, small, table
 
 RADIUS = 3
 WIDTHS = (13, 13, 13, 13, 12)
@@ -188,7 +188,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     dropped = materialise(rows.join(first, F.col("root") == F.col("of")).where("row <> least.row").select(F.col("row").alias(dropped_row)), "dropped")
     release(rows)
-    return numbered.join(dropped, F.col(row) == F.col(dropped_row), "left_anti").select(*columns_of(docs))
+    return numbered.join(small(dropped), F.col(row) == F.col(dropped_row), "left_anti").select(*columns_of(docs))
 
 
 def op7_simhash_pivots(spark, sf_dir):
