@@ -3,9 +3,10 @@
 Each source's documents are shuffled by a seeded hash, once for each pass over the
 source. A document copy finishes at virtual time: the source's words so far, this copy
 included, divided by the source's target. Serving copies by finish time gives each
-source its share at every point; the total budget (the sum of all targets) is spent at
-virtual time 1 exactly, where the mix is truncated. The copy that a source is serving
-then is taken in part, so that each source's words equal its target.
+source its share at every point. All copies are sorted by finish time, their words added
+up in that order, and the mix is truncated where the total reaches the budget, the sum of
+all targets: at virtual time 1. The copy that a source is serving then finishes there,
+taken in part, so that each source's words equal its target.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, running, table, word_count
+from .common import columns_of, materialise, new_names, running, table, word_count
 
 SEED = 20240229
 #: Most times that one document is taken.
 PASSES = 3
 #: Hash ranges into which a pass over a source is cut for its running sums.
 RANGES = 1024
+#: Ranges of a unit of virtual time, in which words are added up before the ranges' own sums are.
+TICKS = 65_536
 WEIGHTS = (1, 2, 3)
 
 
@@ -46,49 +49,60 @@ def targets(sizes: DataFrame, passes: int = PASSES, weights=WEIGHTS) -> DataFram
     return per.select("source", "source_size", "weight", F.least("cap", F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def schedule(docs: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
-    """uid, doc_id, source, size, source_size, target, pass, finish, taken: the copies in the mix.
+def schedule(docs: DataFrame, passes: int = PASSES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The mix (uid, doc_id, source, size, source_size, target, pass, finish, taken, total) and all rows with their sizes.
 
-    In order of virtual finish time, range-sorted over all partitions and cut at the
-    budget. ``uid`` numbers the rows of docs for this run. Null sources are a source,
-    null texts and texts without words have size 0 and finish with whatever precedes
-    them; they are in the mix with 0 words. Repeated rows are documents of their own.
-    With no words at all, nothing is taken. Columns other than doc_id, source and text
-    are ignored."""
+    The mix is in order of virtual finish time, range-sorted over all partitions;
+    ``total`` is its words up to and with a copy. ``uid`` numbers the rows of docs for this
+    run. Null sources are a source, null texts and texts without words have size 0 and
+    finish with whatever precedes them; they are in the mix with 0 words. A text of any
+    length is one document, taken in part where it stands at the end. Repeated rows are
+    documents of their own; ties in time go by uid. With no words at all, nothing is
+    taken. Columns other than doc_id, source and text are ignored; an empty table gives an
+    empty mix."""
     sized = docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content"),
     ).withColumn("uid", F.monotonically_increasing_id())
     sized = materialise(sized, "sizes")
     goal = materialise(targets(sized, passes), "targets")
-    goal = goal.withColumnRenamed("source", "of")
-    known = sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    budget = goal.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()[0]
+    known = sized.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     n = F.greatest(F.lit(1), F.least(F.lit(passes), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))))).cast("int")
     copies = known.withColumn("pass", F.explode(F.sequence(F.lit(0), n - 1)))
     copies = copies.withColumn("key", F.xxhash64(F.lit(seed), "pass", "doc_id", "content"))
     copies = copies.withColumn("range", F.pmod(F.shiftright("key", 54), F.lit(RANGES)))
     copies = running(copies, ["source", "pass"], "range", ["key", "doc_id", "uid"], "size", "so_far")
     done = F.col("pass") * F.col("source_size") + F.col("so_far")
-    copies = copies.withColumn("finish", F.when(F.col("target") > 0, done / F.col("target")))
-    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") - done + F.col("size")))).cast("long")
-    cut = copies.withColumn("taken", taken).where((F.col("taken") > 0) | (F.col("finish") <= 1))
-    out = cut.select("uid", "doc_id", "source", "size", "source_size", "target", "pass", "finish", "taken")
-    return out.repartitionByRange("finish", "uid").sortWithinPartitions("finish", "uid"), known
+    left = F.floor(F.col("target") - done + F.col("size"))  # of the target when this copy begins
+    served = F.when((left > 0) & (left < F.col("size")), left).otherwise(F.col("size")).cast("long")
+    copies = copies.withColumns({"served": served, "finish": F.when(F.col("target") > 0, F.when(served < F.col("size"), 1.0).otherwise(done / F.col("target")))})
+    # the budget is spent at time 1: what finishes from 2 on is beyond it in any order
+    timed = copies.where("finish < 2").withColumn("tick", F.floor(F.col("finish") * TICKS))
+    timed = running(timed, [], "tick", ["finish", "uid", "pass"], "served", "total")
+    cut = timed.withColumn("taken", F.least("served", F.lit(budget) - F.col("total") + F.col("served"))).where(F.col("total") - F.col("served") < budget)
+    out = cut.select("uid", "doc_id", "source", "size", "source_size", "target", "pass", "finish", "taken", F.least("total", F.lit(budget)).alias("total"))
+    return out.repartitionByRange("finish", "uid", "pass").sortWithinPartitions("finish", "uid", "pass"), known
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them; a copy taken in part stays if over half of it is."""
-    numbered = materialise(docs.withColumn("__uid", F.monotonically_increasing_id()), "mixed")
-    plan, _ = schedule(numbered.select(F.col("__uid").alias("doc_id"), "source", "text"))
-    times = plan.where(F.col("taken") * 2 > F.col("size")).groupBy(F.col("doc_id").alias("__u")).agg(F.count("*").cast("int").alias("__n"))
-    out = numbered.join(times, F.col("__uid") == F.col("__u"))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """The rows of docs as often as the mix takes them, in order of finish time; a copy taken in part stays if over half of it is.
+
+    Null and empty texts have no words and stay out, however long texts are one row;
+    repeated rows are rows of their own; null sources are a source. Columns of any name
+    pass through; an empty table gives an empty mix."""
+    uid, of, finish, turn = new_names(docs, "uid", "of", "finish", "pass")
+    numbered = materialise(docs.withColumn(uid, F.monotonically_increasing_id()), "mixed")
+    plan, _ = schedule(numbered.select(F.col(uid).alias("doc_id"), "source", "text"))
+    plan = plan.where(F.col("taken") * 2 > F.col("size")).select(F.col("doc_id").alias(of), F.col("finish").alias(finish), F.col("pass").alias(turn))
+    out = numbered.join(plan, F.col(uid) == F.col(of)).repartitionByRange(finish, uid, turn).sortWithinPartitions(finish, uid, turn)
+    return out.select(*columns_of(docs))
 
 
 def op9_fair_mix(spark, sf_dir):
     plan, known = schedule(table(spark, sf_dir, "documents"))
-    taken = plan.groupBy(F.col("uid").alias("u")).agg(F.sum("taken").alias("taken"))
+    taken = plan.groupBy(F.col("uid").alias("u")).agg(F.sum("taken").alias("taken"), F.min("finish").alias("first_finish"))
     out = known.join(taken, F.col("uid") == F.col("u"), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_finish")
 
 
 QUERIES = {"op9_fair_mix": op9_fair_mix}

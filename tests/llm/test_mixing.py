@@ -66,6 +66,8 @@ def test_schedule_is_in_order_and_shares_hold_all_along(spark):
     plan, _ = mixing.schedule(frame(spark, rows))
     got = plan.collect()
     assert [r.finish for r in got] == sorted(r.finish for r in got)
+    assert [r.total for r in got] == [sum(r.taken for r in got[: k + 1]) for k in range(len(got))]
+    assert got[-1].total == 6000 and got[-1].finish <= 1
     for n in (90, 300):
         part = got[:n]
         share = sum(r.taken for r in part if r.source == "b") / sum(r.taken for r in part)
@@ -80,3 +82,32 @@ def test_mix_and_empty_tables(spark):
     assert ids.count(500) == 3 and max(ids.count(i) for i in range(100)) == 1
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, "a", None), (2, "b", "")])).count() == 0
+
+
+def test_mix_is_in_finish_order_whatever_the_names(spark):
+    names = ["doc_id", "source", "text", "uid", "of", "pass", "finish", "size", "a.b", "_uid"]
+    rows = [(i, "ab"[i % 2], f"{i} " * 10, *["x"] * 7) for i in range(300)] + [(300, None, "long " * 3000, *["x"] * 7)]
+    out = mixing.mix(spark.createDataFrame(rows, names))
+    assert out.columns == names
+    got = out.collect()
+    assert set(got[0]["a.b"] for r in got) == {"x"}
+    for n in (60, 150):
+        assert sum(r.source == "b" for r in got[:n]) / max(1, sum(r.source in ("a", "b") for r in got[:n])) == pytest.approx(2 / 3, abs=0.08)
+
+
+def test_truncation_at_the_budget(spark):
+    """Against serving the copies one after another."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abbbc"), "w " * rng.choice([1, 5, 40, 700])) for i in range(150)]
+    plan, known = mixing.schedule(frame(spark, rows))
+    got, budget = plan.collect(), sum(int(t.target) for t in known.select("source", "target").distinct().collect())
+    spent = 0
+    for r in got:
+        assert spent < budget and r.taken <= r.size
+        spent += r.taken
+        assert r.total == spent
+    assert spent == budget
+    served = {}
+    for r in got:  # each source's own clock
+        served[r.source] = served.get(r.source, 0) + r.size
+        assert r.finish == pytest.approx(min(served[r.source] / r.target, 1.0))
