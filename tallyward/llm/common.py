@@ -187,14 +187,15 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list, value: str,
     return df.join(per, cond, "left").withColumn(out, F.sum(value).over(w) + F.col("__before")).drop("__before", *[f"__{c}" for c in [*by, bucket]])
 
 
-def sample_of(df: DataFrame, keys: list, most: int, seed: int) -> DataFrame:
-    """The rows whose keys hash lowest, ``most`` at most but for chance (a hundredth below on average); all rows of a smaller table.
-
-    A threshold on the hash, from the number of rows: nothing is sorted or gathered."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) < int((1 << 40) * 0.99 * most / n))
+def sample_of(df: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
+    """``most`` rows of df at most, of different keys: those whose keys hash lowest.
+
+    A threshold on the hash, from the number of rows, leaves somewhat fewer but for chance
+    and one row for each key, however many rows share it; what chance leaves beyond goes."""
+    of = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40))
+    share = 0.99 * most / max(df.count(), 1)
+    few = df if share >= 0.99 else df.where(of < int((1 << 40) * share))
+    return few.dropDuplicates(keys).orderBy(of, *keys).limit(most)
 
 
 def word_count(text):

@@ -6,7 +6,7 @@ counted by pattern (3 ** 8 patterns at most); expectation-maximisation over the
 estimates each labeller's accuracies and the share of good documents, and with them the
 probability that a pattern's documents are good. A logistic scorer on hashed features of
 the form of a text learns those probabilities from ``SAMPLE`` documents, the ones whose
-id hashes lowest, and scores every document. Documents under 0.5 are rejected.
+id and text hash lowest, and scores every document. Documents under 0.5 are rejected.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sample_of, table
+from .common import columns_of, materialise, new_names, sample_of, small, table
 
 #: Documents that the scorer is fitted on, at most.
 SAMPLE = 20_000
@@ -133,22 +133,22 @@ def fit_logistic(at, x, y, weight=None, bits: int = BITS, rounds: int = 300, l2:
     return w
 
 
-def scores(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
+def scores(docs: DataFrame, sample: int = SAMPLE, row: str | None = None) -> tuple[DataFrame, dict]:
     """(doc_id, row, weak, quality) for each row of docs, and what was learned.
 
-    ``row`` numbers the rows of docs; ``weak`` is the posterior of its votes, ``quality``
-    the scorer's probability of good. Null, empty and blank texts are bad by every
-    labeller. Repeated rows and ties score alike; other columns are ignored. An empty
-    table gives no rows."""
-    if "__row" not in docs.columns:
-        docs = docs.withColumn("__row", F.monotonically_increasing_id())
-    got = docs.select(F.struct(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).alias("row"), F.col("text").cast("binary"))
-    got = materialise(got.mapInArrow(_described, "row struct<row:long,doc_id:long>, votes int, at array<int>, x array<float>").select("row.*", "votes", "at", "x"), "described")
+    ``row`` is the column of docs that numbers its rows, or else numbers them; ``weak`` is
+    the posterior of a row's votes, ``quality`` the scorer's probability of good. Null,
+    empty and blank texts are bad by every labeller; long texts are taken whole. Repeated
+    rows and ties score alike, and the scorer learns from one of them; other columns are
+    ignored. An empty table gives no rows."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    got = docs.select(F.struct(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content")).alias("row"), F.col("text").cast("binary"))
+    got = materialise(got.mapInArrow(_described, "row struct<row:long,doc_id:long,content:long>, votes int, at array<int>, x array<float>").select("row.*", "votes", "at", "x"), "described")
     count = got.groupBy("votes").count().orderBy("votes").toPandas()
     votes, n = count["votes"].to_numpy(dtype=np.int64), count["count"].to_numpy(dtype=np.float64)
     patterns = np.stack([votes // 3**k % 3 for k in range(len(LABELLERS))], axis=1) if len(votes) else np.zeros((0, len(LABELLERS)), dtype=np.int64)
     post, given, prior = expectation_maximisation(patterns, n)
-    rows = sample_of(got, ["doc_id", "votes"], sample, 7).select("votes", "at", "x").toPandas() if len(votes) else None
+    rows = sample_of(got, ["doc_id", "content"], sample, 7).select("votes", "at", "x").toPandas() if len(votes) else None
     y = dict(zip(votes.tolist(), post.tolist()))
     w = fit_logistic(rows["at"].to_list(), rows["x"].to_list(), [y[v] for v in rows["votes"]]) if rows is not None else np.zeros((1 << BITS) + 1)
 
@@ -168,11 +168,15 @@ def scores(docs: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
 
 
 def keep_good(docs: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The rows of docs that the scorer keeps."""
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "scored")
-    out, _ = scores(numbered)
-    bad = materialise(out.where(F.col("quality") < reject).select(F.col("row").alias("__bad")), "bad")
-    return numbered.join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+    """The rows of docs that the scorer keeps, whatever their ids.
+
+    Null, empty and blank texts go; long texts are judged whole; repeated rows and ties
+    stay or go together. Columns of any name pass through; an empty table gives no rows."""
+    row, bad_row = new_names(docs, "row", "bad")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "scored")
+    out, _ = scores(numbered.select(row, "doc_id", "text"), row=row)
+    bad = materialise(out.where(F.col("quality") < reject).select(F.col("row").alias(bad_row)), "bad")
+    return numbered.join(small(bad), F.col(row) == F.col(bad_row), "left_anti").select(*columns_of(docs))
 
 
 def op4_weak_quality(spark, sf_dir):

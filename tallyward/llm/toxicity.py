@@ -1,10 +1,10 @@
 """Toxicity as cumulative-link ordinal regression on sparse text features.
 
-Grades: 0 is not toxic; a toxic label is grade 1, or 2 where the text holds more than the
-median number of telling features. P(grade > k) is the logistic of one score, shared by
-all thresholds, less threshold k; the expected severity is the sum of these. Features are
-words and word beginnings of 5 and 7 letters that are present in a text, kept where they
-tell toxic documents apart in the labelled sample.
+Grades are the labels' own values in order, from 0, not toxic: as many thresholds as there
+are grades above. P(grade > k) is the logistic of one score, shared by all thresholds, less
+threshold k; the expected severity is the sum of these. Features are words and word
+beginnings of 5 and 7 letters that are present in a text, kept where they tell toxic
+documents apart in the labelled sample.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def features(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, thresholds: int = 2, rounds: int = 400, l2: float = 5e-5, rate: float = 0.1):
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, size: int, thresholds: int, rounds: int = 400, l2: float = 5e-5, rate: float = 0.1):
     """Weights and rising thresholds of a cumulative-link (logistic) model; full-batch Adam."""
     n = max(len(rows), 1)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -86,12 +86,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold=None) -> Model:
     """Fit on the labelled documents; ``fold``: a condition on labels that leaves some out.
 
-    Labels that are null count as no label; several of one document count as the worst.
+    Labels that are null count as no label, values of 0 or less as not toxic; several of
+    one document count as the worst, and several documents of one id as one of them.
     Without labels the model finds nothing toxic."""
     chosen = labels.where("toxic is not null and doc_id is not null")
-    chosen = (chosen if fold is None else chosen.where(fold)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = sample_of(chosen, ["doc_id"], sample, 11).select(F.col("doc_id").alias("__id"), "toxic")  # SAMPLE rows of 16 bytes: broadcast
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    chosen = (chosen if fold is None else chosen.where(fold)).groupBy("doc_id").agg(F.greatest(F.max("toxic").cast("int"), F.lit(0)).alias("toxic"))
+    chosen = sample_of(chosen, ["doc_id"], sample, 11).select(F.col("doc_id").alias("labelled"), "toxic")  # SAMPLE rows of 16 bytes: broadcast
+    known = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == F.col("labelled"))
+    known = known.groupBy("labelled").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def found(batches):
         import pyarrow as pa
@@ -101,16 +103,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold=None) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.list_(pa.string()))], names=["toxic", "f"])
 
     known = materialise(known.select("toxic", "text").mapInArrow(found, "toxic int, f array<string>"), "toxic")
-    n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
     if not n or not n_toxic or n_toxic == n:
-        return Model({}, np.array([40.0, 41.0]) if not n_toxic else np.array([-40.0, 40.0]))
+        return Model({}, np.array([-40.0 if n_toxic else 40.0]))
     rate = n_toxic / n
-    per = known.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= LEAST)
+    per = known.select((F.col("toxic") > 0).cast("int").alias("toxic"), F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= LEAST)
     z = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     top = per.withColumn("z", z).where(F.col("z") >= Z).orderBy(F.desc("z"), "f").limit(FEATURES).collect()  # FEATURES rows
     names = [r.f for r in top]
     index = {f: k for k, f in enumerate(names)}
-    telling = np.array([r.t >= 0.8 * r.n for r in top], dtype=bool)
 
     def indexed(batches):
         import pyarrow as pa
@@ -122,26 +123,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold=None) ->
     at, toxic = [np.asarray(a, dtype=np.int64) for a in rows["at"]], rows["toxic"].to_numpy()
     order = sorted(range(len(at)), key=lambda i: (toxic[i], at[i].tolist()))  # however the rows arrive
     at, toxic = [at[i] for i in order], toxic[order]
-    hits = np.array([telling[a].sum() for a in at])
-    half = np.median(hits[toxic > 0])
-    w, theta = fit_ordinal(at, np.where(toxic > 0, 1 + (hits > half), 0), len(names))
+    grades = np.searchsorted(np.unique(toxic), toxic)
+    w, theta = fit_ordinal(at, grades, len(names), int(grades.max()))
     return Model(dict(zip(names, w.tolist())), theta)
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, p_toxic (grade 1 or more), p_severe (grade 2), severity (expected grade) of each row of docs.
+    """doc_id, p_toxic (grade 1 or more), severity (expected grade) and grade (the most probable) of each row of docs.
 
-    Null and empty texts have no features. Repeated rows score alike; other columns are
-    ignored; an empty table gives no rows."""
+    Null and empty texts have no features; long texts are taken whole. Repeated rows score
+    alike; ties go to the lower grade; other columns are ignored; an empty table gives no
+    rows."""
 
     def scored(batches):
         import pyarrow as pa
 
         for b in batches:
-            p = model.above(b.column(1).to_pylist()) if b.num_rows else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p.sum(axis=1))], names=["doc_id", "p_toxic", "p_severe", "severity"])
+            if b.num_rows:
+                p = model.above(b.column(1).to_pylist())
+                each = -np.diff(np.c_[np.ones(len(p)), p, np.zeros(len(p))], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, 0]), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1), pa.int32())], names=["doc_id", "p_toxic", "severity", "grade"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, p_toxic double, p_severe double, severity double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, p_toxic double, severity double, grade int")
 
 
 def op3_ordinal_toxicity(spark, sf_dir):

@@ -1,7 +1,7 @@
 import numpy as np
 
 from tallyward.llm import quality
-from tallyward.llm.common import table
+from tallyward.llm.common import sample_of, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,3 +41,18 @@ def test_odd_rows_and_keeping(spark):
     assert ids.count(3) == 2 and None in ids and 203 in ids and set(range(60)) <= set(ids)
     assert not set(ids) & {*range(100, 112), 200, 201, 202}
     assert quality.keep_good(df.limit(0)).count() == 0
+
+
+def test_sample_is_bounded_where_keys_repeat(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id) as k", "id % 7 as v")
+    for most in (500, 5000, 40_000):
+        got = [r.k for r in sample_of(df, ["k"], most, 3).collect()]
+        assert len(got) <= most and len(set(got)) == len(got) and len(got) > 0.55 * min(most, 20_000)
+    assert sample_of(df.limit(0), ["k"], 10, 3).count() == 0
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "row", "bad", "quality", "a.b", "__row", "_row"]
+    good = "The harbour was quiet, and nobody came down to the boats before noon. Later the wind turned, as it does here. "
+    kept = quality.keep_good(spark.createDataFrame([(k, good + str(k), *"abcdef") for k in range(20)] + [(99, "$$$ ###", *"uvwxyz")], names))
+    assert kept.columns == names and {tuple(r)[2:] for r in kept.collect()} == {tuple("abcdef")}
