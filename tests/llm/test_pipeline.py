@@ -51,3 +51,34 @@ def test_run_leaves_the_last_tables_only(spark):
     for s in range(40):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
+
+
+def test_odd_rows_pass_through_all_stages(spark):
+    """Nulls, repeats, a very long text and columns whose names clash with the operators' own."""
+    good = "The harbour of {0} was quiet, and nobody came down to the boats of {0} before noon. Later the wind turned, as it does here; {0} slept on. "
+    names = ["doc_id", "text", "source", "row", "hash", "uid", "finish", "dropped", "shard", "a b.c"]
+    word = lambda i: "".join(chr(97 + (i // 26**k + 3 * k) % 26) for k in range(6))
+    rows = [(i, " ".join(good.format(word(i * 7 + j)) for j in range(3)), "ab"[i % 2] if i % 5 else None) for i in range(60)]
+    rows += [(60, None, "a"), (61, "", "b"), (None, rows[3][1], "a"), (3, rows[3][1], "a"), (None, good.format("nowhere"), None), (62, " ".join(good.format(word(i)) for i in range(3000)), "b")]
+    docs = spark.createDataFrame([(*r, *[str(k)] * 7) for k, r in enumerate(rows)], "doc_id long, text string, source string, row string, hash string, uid string, finish string, dropped string, shard string, `a b.c` string")
+    assert docs.columns == names
+    kept = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = materialise(stage(spark, docs, SF), "odd")
+        assert docs.columns == (names if k < 4 else [*names, "_shard", "slot"]), name
+        got = docs.collect()
+        kept.append(got)
+        assert all(r["a b.c"] == r.row == r.hash and rows[int(r.row)][0] == r.doc_id for r in got)
+    ids = [{r.doc_id for r in got} for got in kept]
+    assert 60 not in ids[0] and 61 not in ids[0] and {3, 62, None} <= ids[0]
+    texts = [r.text for r in kept[1]]
+    assert len(set(texts)) == len(texts) and {r.doc_id for r in kept[1] if r.text == rows[3][1]} == {3}
+    assert max(len(r.text) for r in kept[2]) > 300_000 and kept[3] and len(kept[3]) == len(kept[4])
+    assert len({r.source for r in kept[3]}) == 3
+
+
+def test_stages_chained_without_writing(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert docs.count() > 0
