@@ -6,10 +6,11 @@ role or relabel it, to merge it with the turn before, or to insert empty turns b
 after the last turn, to insert what the end needs. The cheapest path is rendered. Text is
 never dropped.
 
-A conversation is cut into chunks by turn number. A chunk is a matrix of the least costs
+All turns are sorted by conversation and number over all partitions and numbered in that
+order; a conversation is cut into chunks of these numbers. A chunk is a matrix of the least costs
 from each state to each; matrices multiply (min, +), so the states at chunk borders are
 found without its texts, and chunks are then repaired apart: a conversation with a third
-of all turns is many tasks.
+of all turns is many tasks, also where all of them have one number or none.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("start", "system", "user", "assistant")
 #: Roles by other names.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
-#: Turn numbers of a chunk.
+#: Turns of a chunk, at most.
 CHUNK = 4096
 INF = float("inf")
 
@@ -179,18 +180,19 @@ def format_chats(conversations: DataFrame, costs: Costs = Costs(), chunk: int =
 
     Pieces in order of chunk and n, ``rendered`` joined, are a conversation's text.
     Turns go by number, nulls first; equal numbers by role and text. Rows whose conv_id
-    is null are conversations of one turn. Null and empty texts stay as empty turns;
-    unknown and null roles are named at a cost. Repeated rows are turns of their own.
-    Other columns are ignored; an empty table gives no rows."""
+    is null are conversations of one turn. Null and empty texts stay as empty turns, long
+    texts stay whole; unknown and null roles are named at a cost. Repeated rows are turns
+    of their own. Other columns are ignored; an empty table gives no rows."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)).alias("own"),
-        F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / chunk).cast("long").alias("chunk"),
         F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    )
-    rows = materialise(rows, "turns")
+    ).withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))  # equal rows are apart as well
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "own", "turn", "role", "text", "tie")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie").withColumn("at", F.monotonically_increasing_id())
+    rows = materialise(placed.withColumn("chunk", F.floor(F.col("at") / chunk).cast("long")), "turns")
     key = ["conv_id", "own", "chunk"]
-    order = [*key, F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    plain = rows.select(*key, "turn", "role", (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")) == "").alias("blank"), "text")
+    order = [*key, "at"]
+    plain = rows.select(*key, "at", "role", (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")) == "").alias("blank"))
 
     def matrices(batches):
         import pyarrow as pa
@@ -219,7 +221,7 @@ def format_chats(conversations: DataFrame, costs: Costs = Costs(), chunk: int =
         def close():
             if got:
                 ms = [[r[3][4 * a : 4 * a + 4] for a in range(4)] for r in got]
-                out.extend((*r[:3], a, b, k == len(got) - 1) for k, (r, (a, b)) in enumerate(zip(got, borders(ms, costs))))
+                out.extend((*r[:3], a, b, k == len(got) - 1, k) for k, (r, (a, b)) in enumerate(zip(got, borders(ms, costs))))
                 got.clear()
 
         for new, row in _runs(batches, 2):
@@ -227,15 +229,15 @@ def format_chats(conversations: DataFrame, costs: Costs = Costs(), chunk: int =
                 close()
             got.append(row)
         close()
-        cols = list(zip(*out)) or [()] * 6
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["conv_id", "own", "chunk", "first", "last", "closing"])
+        cols = list(zip(*out)) or [()] * 7
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["conv_id", "own", "chunk", "first", "last", "closing", "part"])
 
     by_chunk = chunks.repartition("conv_id", "own").sortWithinPartitions(*key)
-    plan = materialise(by_chunk.mapInArrow(ends, "conv_id long, own long, chunk long, first int, last int, closing boolean"), "borders")
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in key], "first", "last", "closing")
+    plan = materialise(by_chunk.mapInArrow(ends, "conv_id long, own long, chunk long, first int, last int, closing boolean, part long"), "borders")
+    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in key], "first", "last", "closing", "part")
     same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("own") == F.col("_own")) & (F.col("chunk") == F.col("_chunk"))
-    told = rows.join(plan, same).select(*key, "first", "last", "closing", "turn", "role", "text")
+    told = rows.join(plan, same).select(*key, "first", "last", "closing", "part", "turn", "role", "text", "at")
 
     def rendered(batches):
         import pyarrow as pa
@@ -245,8 +247,8 @@ def format_chats(conversations: DataFrame, costs: Costs = Costs(), chunk: int =
         def close():
             if not got:
                 return None
-            conv, _, ch, first, last, closing = got[0][:6]
-            out = [(conv, ch, n, None if k is None else got[k][6], role, action, text) for n, (k, role, action, text) in enumerate(segments([(r[7], r[8]) for r in got], first, last, closing, costs))]
+            conv, _, _, first, last, closing, part = got[0][:7]
+            out = [(conv, part, n, None if k is None else got[k][7], role, action, text) for n, (k, role, action, text) in enumerate(segments([(r[8], r[9]) for r in got], first, last, closing, costs))]
             got.clear()
             kinds = [pa.int64()] * 4 + [pa.string()] * 3
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=["conv_id", "chunk", "n", "turn", "role", "action", "rendered"])

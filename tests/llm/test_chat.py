@@ -89,3 +89,14 @@ def test_conversations(spark):
         assert sum(r.turn is not None for r in got if r.conv_id == 6) == 500
     assert rendered([r for r in whole if r.conv_id == 6]).count("user") == rendered([r for r in parts if r.conv_id == 6]).count("user")
     assert c.format_chats(df.limit(0)).count() == 0
+
+
+def test_turns_without_numbers_are_many_chunks(spark):
+    rows = [(9, None if i % 2 else 3, "user", f"{i:04}" if i % 3 else "same", 0) for i in range(400)] + [(10, 0, "user", "long " * 300_000, 0)]
+    got = c.format_chats(spark.createDataFrame(rows, SCHEMA), chunk=32).collect()
+    of = lambda k: [r for r in got if r.conv_id == k]
+    assert len({r.chunk for r in of(9)}) >= 400 / 32 and legal(rendered(of(9)))
+    assert [r.turn for r in sorted(of(9), key=lambda r: (r.chunk, r.n)) if r.action in ("keep", "merge")] == [None] * 200 + [3] * 200
+    assert rendered(of(10)).count("long ") == 300_000 and {r.chunk for r in of(10)} <= {0, 1}
+    one = c.format_chats(spark.createDataFrame(rows, SCHEMA)).where("conv_id = 9").collect()
+    assert rendered(one) == rendered(of(9))
