@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import combinations, product
 
-#: Endings of logins that name a use, not a person.
+# Endings of logins that name a use, not a person.
 ENDINGS = ("_sa", "_svc", "_adm", "_admin", ".sa", ".adm", "_ext", "_tmp", "2")
 
 
@@ -76,31 +77,40 @@ def same_person(a, b) -> bool:
     return False
 
 
+def _forms(word: str, side: int) -> list[str]:
+    """What a word meets by: itself, or an initial, told by the side whose word is a single letter."""
+    return [f"{side}{word}", f"{1 - side}{word}"] if len(word) == 1 else [f"={word}", f"{1 - side}{word[0]}"]
+
+
 def meeting_keys(name, side: int) -> list[str]:
     """Keys of which two names share one at least if ``same_person`` holds; ``side`` 0 or 1 as in the join.
 
-    Words of two letters or more meet in an equal word; a match without one has a word of
-    a single letter, which meets the initials of the other side; logins meet the forms
-    that names can give them, in sorted letters where the order of words is free."""
-    ws = words(name)
-    out = {"w " + w for w in ws if len(w) > 1}
-    for w in ws:
-        out.add(f"i{side} {w[0]}")
-        if len(w) == 1:
-            out.add(f"i{1 - side} {w[0]}")
+    All words of the shorter name are in the longer one. So a name asks by its three
+    longest words together, and answers by each group of three, two or, if it has no more
+    than two, one of its words; names that have but one word in common don't meet. A
+    single word also asks as a login, by the forms that names can give one, in sorted
+    letters where the order of words is free."""
+    ws, out = words(name), set()
+    join = lambda asks, group: {f"c{asks} " + " ".join(sorted(forms)) for forms in product(*(_forms(w, side) for w in group))}
+    if ws:
+        out |= join(side, sorted(ws, key=lambda w: (-len(w), w))[:3])
+    for k in range(1 if len(ws) <= 2 else 2, min(3, len(ws)) + 1):
+        for group in combinations(ws, k):
+            out |= join(1 - side, group)
     if len(ws) == 1:
         flat, parts = login_forms(name)
-        if flat:
-            out |= {"f " + flat, "m " + "".join(sorted(flat))}
+        asked = {"f " + flat, "m " + "".join(sorted(flat))} if flat else set()
         if len(parts) >= 2:
-            out.add("p " + " ".join(sorted(parts)))
+            asked.add("p " + " ".join(sorted(parts)))
+        out |= {f"l{side} {k}" for k in asked}
     if len(ws) >= 2:
-        out |= {"p " + " ".join(sorted(ws)), "m " + "".join(sorted("".join(ws))), "m " + "".join(sorted(w[0] for w in ws))}
+        told = {"p " + " ".join(sorted(ws)), "m " + "".join(sorted("".join(ws))), "m " + "".join(sorted(w[0] for w in ws))}
         for i, long in enumerate(ws):
             if len(long) >= 4:
-                out.add("f " + long)
+                told.add("f " + long)
             if len(long) >= 3:
-                out |= {f for j, s in enumerate(ws) if i != j for f in ("f " + s[0] + long, "f " + long + s[0])}
+                told |= {f for j, s in enumerate(ws) if i != j for f in ("f " + s[0] + long, "f " + long + s[0])}
+        out |= {f"l{1 - side} {k}" for k in told}
     return sorted(out)
 
 

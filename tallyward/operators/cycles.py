@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..functions.dates import moment_of
 from .review import decide
 
 SEPARATOR = "::"
@@ -21,16 +22,17 @@ def account_key(*columns) -> Column:
 
 # ---- merging ----------------------------------------------------------------------------
 
-def generic_login(c) -> Column:
-    return F.coalesce(T.low(c).rlike("|".join(V.GENERIC_NAMES)), F.lit(False))
+def shared_login(c) -> Column:
+    """A login that many systems have of their own: one of the names, whole, with a mark and digits after it perhaps."""
+    return F.coalesce(T.low(c).rlike(rf"^({'|'.join(V.SHARED_LOGINS)})([_\-.]?\d*)?$"), F.lit(False))
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """common, size_a, size_b, overlap: shared distinct logins over the smaller table's, generic logins apart.
+    """common, size_a, size_b, overlap: shared distinct logins over the smaller table's, shared logins apart.
 
-    If a side has generic logins only, all logins count on both."""
+    If a side has shared logins only, all logins count on both."""
     side = lambda df, x: df.select(T.low(F.col("username")).alias("u")).where("u <> ''").distinct().withColumn(x, F.lit(1))
-    both = side(a, "a").join(side(b, "b"), "u", "full").withColumn("g", generic_login(F.col("u")))
+    both = side(a, "a").join(side(b, "b"), "u", "full").withColumn("g", shared_login(F.col("u")))
     n = both.agg(*[F.count_if(cond & keep).alias(f"{name}{k}") for k, keep in enumerate((~F.col("g"), F.lit(True))) for name, cond in (("a", F.col("a").isNotNull()), ("b", F.col("b").isNotNull()), ("c", F.col("a").isNotNull() & F.col("b").isNotNull()))])
     raw = (F.col("a0") == 0) | (F.col("b0") == 0)
     pick = lambda x: F.when(raw, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))
@@ -90,59 +92,109 @@ def merge_or_stack(tables: dict[str, DataFrame], least: float = 0.5, names_are_s
     return stack(*out)
 
 
-def collapse_permissions(df: DataFrame, rights: str = "user_rights", order: str = "line_no") -> DataFrame:
-    """One row for each username (and system): its distinct rights by line, latest login, first value elsewhere."""
+def collapse_permissions(df: DataFrame, rights: str = "user_rights", order: str = "line_no", ref: date = date(2030, 1, 1)) -> DataFrame:
+    """One row for each username (and system): its distinct rights by line, latest login, first value elsewhere.
+
+    Logins are compared as moments, day first; of those that name none, the first stays.
+    ``ref`` dates years of two digits and days without a year; as it stands, a day without
+    a year counts as recent."""
     keys = [c for c in ("username", "system") if c in df.columns]
     rest = [c for c in df.columns if c not in (*keys, rights, "last_login_date", order)]
     listed = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(~T.blank(F.col(rights)), F.struct(F.col(order).alias("o"), T.strip(F.col(rights)).alias("v"))))), lambda x: x["v"])), "\n")
     aggs = [listed.alias(rights), F.min(order).alias(order)]
     if "last_login_date" in df.columns:
-        aggs.append(F.max("last_login_date").alias("last_login_date"))
+        when, text = moment_of("last_login_date", ref), F.col("last_login_date")
+        latest = F.max_by(text, F.when(when.isNotNull(), F.struct(when, (-F.col(order)).alias("line"))))
+        aggs.append(F.coalesce(latest, F.min_by(text, F.when(text.isNotNull(), F.col(order)))).alias("last_login_date"))
     aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest]
     return df.groupBy(*keys).agg(*aggs).select(*df.columns)
 
 
 # ---- two cycles -------------------------------------------------------------------------
 
+#: In place of the system's name among the keys: systems that the previous cycle lacks make their accounts new.
+NEW_SYSTEM = "new system"
+
+
 def comparison_keys(current: DataFrame, previous: DataFrame) -> list[str]:
-    """(username, system) if both cycles have several systems, else username; two small counts decide."""
-    many = [df.select(T.low(F.col("system")).alias("s")).where("s <> ''").distinct().limit(2).count() > 1 if "system" in df.columns else False for df in (current, previous)]
-    return ["username", "system"] if all(many) else ["username"]
+    """(username, system) if both cycles have several systems, (username, new system) if only the current one has, else username.
+
+    Two small counts decide."""
+    now, before = [df.select(T.low(F.col("system")).alias("s")).where("s <> ''").distinct().limit(2).count() > 1 if "system" in df.columns else False for df in (current, previous)]
+    return ["username", "system"] if now and before else ["username", NEW_SYSTEM] if now else ["username"]
+
+
+def _columns(keys: list[str]) -> list[str]:
+    return [k for k in keys if k != NEW_SYSTEM]
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.where(~T.blank(F.col("username"))).withColumns({f"_{k}": F.coalesce(T.low(F.col(k)), F.lit("")) for k in keys})
+    return df.where(~T.blank(F.col("username"))).withColumns({f"_{k}": F.coalesce(T.low(F.col(k)), F.lit("")) for k in _columns(keys)})
+
+
+def _lacking(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    by = [f"_{k}" for k in _columns(keys)]
+    return _keyed(a, keys).join(_keyed(b, keys).select(*by).distinct(), by, "left_anti").drop(*by)
 
 
 def created(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
-    """Accounts of the current cycle whose key the previous one lacks; rows without a username are left out."""
-    return _keyed(current, keys).join(_keyed(previous, keys).select(*[f"_{k}" for k in keys]).distinct(), [f"_{k}" for k in keys], "left_anti").drop(*[f"_{k}" for k in keys])
+    """Accounts of the current cycle whose key the previous one lacks, or whose system, where that counts.
+
+    Rows without a username are left out."""
+    if NEW_SYSTEM not in keys:
+        return _lacking(current, previous, keys)
+    users = _keyed(previous, keys).select(F.col("_username").alias("_u")).distinct().withColumn("_known", F.lit(True))
+    out = _keyed(current, keys).join(users, F.col("_username") == F.col("_u"), "left")
+    of = T.low(F.col("system"))
+    if "system" in previous.columns:
+        systems = previous.select(T.low(F.col("system")).alias("_s")).where("_s <> ''").distinct().withColumn("_there", F.lit(True))
+        out = out.withColumn("_of", of).join(systems, F.col("_of") == F.col("_s"), "left")
+    else:
+        out = out.withColumns({"_of": of, "_s": F.lit(None), "_there": F.lit(None).cast("boolean")})
+    return out.where(F.col("_known").isNull() | (~T.blank(F.col("system")) & F.col("_there").isNull())).select(*[F.col(f"`{c}`") for c in current.columns])
 
 
 def deleted(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
-    return created(previous, current, keys)
+    return _lacking(previous, current, keys)
+
+
+def _firsts(df: DataFrame, keys: list[str], profile: str, order: str) -> DataFrame:
+    """The first row of each key: what cycles are compared by, as a struct ``row``."""
+    text = F.coalesce(T.strip(F.col(profile)), F.lit(""))
+    row = F.struct("username", *(["system"] if "system" in df.columns else []), F.col("is_active_for_audit").alias("active"), F.col("is_privileged_flag").alias("privileged"), text.alias("profile"))
+    return _keyed(df, keys).groupBy(*[f"_{k}" for k in _columns(keys)]).agg(F.min_by(row, order).alias("row"))
+
+
+def _both(current: DataFrame, previous: DataFrame, keys: list[str], order: str, how: str) -> DataFrame:
+    profile = "user_rights" if "user_rights" in current.columns and "user_rights" in previous.columns else "role"
+    was = _firsts(previous, keys, profile, order).withColumnRenamed("row", "was")
+    return _firsts(current, keys, profile, order).join(was, [f"_{k}" for k in _columns(keys)], how)
+
+
+_CHANGED = {
+    "reactivated": "row.active and not was.active",
+    "profile_changed": "row.profile <> was.profile",
+    "escalated": "row.privileged and not was.privileged",
+}
 
 
 def changes(current: DataFrame, previous: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
     """username, system and flags of accounts in both cycles: reactivated, profile_changed, escalated; first rows count."""
-    by = [f"_{k}" for k in keys]
-    one = lambda df: _keyed(df, keys).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("_n = 1")
-    profile = "user_rights" if "user_rights" in current.columns and "user_rights" in previous.columns else "role"
-    cols = ["username", "system", "is_active_for_audit", "is_privileged_flag", profile]
-    was = one(previous).select(*by, *[F.col(c).alias(f"was_{c}") for c in cols[2:]])
-    both = one(current).select(*by, *cols).join(was, by)
-    text = lambda c: F.coalesce(T.strip(F.col(c)), F.lit(""))
-    return both.select(
-        "username", "system", (F.col("is_active_for_audit") & ~F.col("was_is_active_for_audit")).alias("reactivated"), (text(profile) != text(f"was_{profile}")).alias("profile_changed"),
-        (F.col("is_privileged_flag") & ~F.col("was_is_privileged_flag")).alias("escalated"),
-    )
+    both = _both(current, previous, keys, order, "inner")
+    return both.select("row.username", "row.system", *[F.expr(sql).alias(name) for name, sql in _CHANGED.items()])
 
 
-def comparison(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: created, deleted, reactivated, profile_changed, escalated (keys, each once)."""
-    n = lambda df: df.select(*[T.low(F.col(k)) for k in keys]).distinct().agg(F.count("*").alias("n"))
-    c = changes(current, previous, keys).agg(*[F.count_if(F.col(f)).alias(f) for f in ("reactivated", "profile_changed", "escalated")])
-    return n(created(current, previous, keys)).withColumnRenamed("n", "created").join(n(deleted(current, previous, keys)).withColumnRenamed("n", "deleted")).join(c)
+def comparison(current: DataFrame, previous: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
+    """One row: created, deleted, reactivated, profile_changed, escalated (keys, each once).
+
+    One full join of the cycles' keys answers all; accounts on new systems are counted apart."""
+    both = _both(current, previous, keys, order, "full")
+    counts = [F.count_if(F.col("was").isNull()).alias("created"), F.count_if(F.col("row").isNull()).alias("deleted"), *[F.count_if(F.coalesce(F.expr(sql), F.lit(False))).alias(name) for name, sql in _CHANGED.items()]]
+    out = both.agg(*counts)
+    if NEW_SYSTEM in keys:
+        n = created(current, previous, keys).agg(F.count_distinct(T.low(F.col("username"))).alias("_n"))
+        out = out.join(F.broadcast(n)).withColumn("created", F.col("_n")).drop("_n")  # one row each
+    return out
 
 
 # ---- decisions --------------------------------------------------------------------------
@@ -168,8 +220,11 @@ def decision(spark, username: str, system: str, seq: int, status: str, validated
     return spark.createDataFrame([(key, seq, status, validated_by, comment, ts)], "key string, seq long, status string, validated_by string, comment string, ts string")
 
 
-def audit_trail(log: DataFrame, username: str, system: str) -> DataFrame:
-    return log.where(F.col("key") == SEPARATOR.join(x.strip().lower() for x in (username, system))).orderBy("seq")
+def audit_trail(log: DataFrame, username: str, system: str | None = None) -> DataFrame:
+    """All entries of an account, or of a login on any system, in order."""
+    login = username.strip().lower() + SEPARATOR
+    of = F.col("key") == login + system.strip().lower() if system is not None else F.col("key").startswith(login)
+    return log.where(of).orderBy("seq")
 
 
 def progress(df: DataFrame) -> DataFrame:

@@ -60,21 +60,22 @@ def matching_names(left: DataFrame, right: DataFrame, name: str = "full_name") -
 
 
 def flag_people(accounts: DataFrame, people: DataFrame, name: str = "full_name") -> DataFrame:
-    """``n_people``: how many listed people an account's full name or login matches, and whether the account is active."""
+    """``n_people``: how many listed people an account's full name or login matches (0, 1, or 2 for more), and whether the account is active.
+
+    Of a name's matches only the first and the last are kept: more than one is all that counts."""
     listed = people.select(F.col(name).alias("full_name")).where(~T.blank(F.col("full_name"))).distinct()
     sides = [c for c in ("full_name", "username") if c in accounts.columns]
     asked = None
     for c in sides:
         part = accounts.select(F.col(c).alias("full_name"))
         asked = part if asked is None else asked.union(part)
-    found = matching_names(asked, listed)
-    out, rest = accounts.withColumn("_row", F.monotonically_increasing_id()), None
+    found = matching_names(asked, listed).groupBy("n0").agg(F.min("n1").alias("a"), F.max("n1").alias("b"))
+    out = accounts
     for c in sides:
-        part = accounts.select(F.col(c)).where(F.col(c).isNotNull()).distinct().join(found, F.col(c) == F.col("n0")).groupBy(F.col(c).alias(f"_{c}")).agg(F.collect_set("n1").alias(f"_m{c}"))
-        out = out.join(part, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
-        m = F.coalesce(F.col(f"_m{c}"), F.array().cast("array<string>"))
-        rest = m if rest is None else F.array_union(rest, m)
-    out = out.withColumn("n_people", F.size(rest)).drop("_row", *[f"_m{c}" for c in sides])
+        out = out.join(found.select(F.col("n0").alias("_n"), F.col("a").alias(f"_a{c}"), F.col("b").alias(f"_b{c}")), F.col(c) == F.col("_n"), "left").drop("_n")
+    ends = [F.col(f"_{x}{c}") for c in sides for x in "ab"]
+    first, last = (F.least(*ends), F.greatest(*ends)) if ends else (F.lit(None).cast("string"),) * 2
+    out = out.withColumn("n_people", F.when(first.isNull(), 0).when(first == last, 1).otherwise(2)).drop(*[f"_{x}{c}" for c in sides for x in "ab"])
     return out.withColumn("active_", F.col("is_active_for_audit") if "is_active_for_audit" in accounts.columns else F.lit(True))
 
 
@@ -100,14 +101,20 @@ def conflict_table(spark, pairs=V.ROLE_CONFLICTS) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, role_a string, role_b string")
 
 
+#: Characters of a part that a role is looked up by, and pairs of a matrix that labels are compared with one by one, at most.
+HEAD, MOST_PAIRS = 3, 10_000
+
+
 def _first_conflict(held: DataFrame, key: str, matrix: DataFrame) -> DataFrame:
     """The first pair of the matrix that a key's roles hold: each distinct role against the matrix's, then by pair.
 
-    ``held``: key, role (distinct). The matrix is a few rows, so roles meet it in a loop
-    over its rows inside the plan, once for each distinct role."""
-    wanted = matrix.select("pos", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("role_a").alias("part")), F.struct(F.lit(1).alias("side"), F.col("role_b").alias("part")))).alias("x")).select("pos", "x.side", T.low(F.col("x.part")).alias("part"))
+    ``held``: key, role (distinct). A role holds a part if it contains it; they meet on the
+    first characters of the part, which the role must have somewhere."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("role_a").alias("part")), F.struct(F.lit(1).alias("side"), F.col("role_b").alias("part")))
+    wanted = matrix.select("pos", F.explode(sides).alias("x")).select("pos", "x.side", T.low(F.col("x.part")).alias("part")).withColumn("head", F.substring("part", 1, HEAD))
     roles = held.select("role").distinct()
-    hit = roles.join(F.broadcast(wanted), F.contains(F.col("role"), F.col("part"))).select(F.col("role").alias("_r"), "pos", "side")
+    heads = F.expr(f"array_distinct(flatten(transform(sequence(1, {HEAD}), n -> transform(sequence(1, greatest(length(role), 1)), k -> substring(role, k, n)))))")
+    hit = roles.select("role", F.explode(heads).alias("head")).join(wanted, "head").where(F.contains(F.col("role"), F.col("part"))).select(F.col("role").alias("_r"), "pos", "side").distinct()
     per = held.join(hit, F.col("role") == F.col("_r")).groupBy(key, "pos").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
     return per.groupBy(F.col(key).alias(f"_{key}")).agg(F.min("pos").alias("_pos"))
 
@@ -123,7 +130,10 @@ def role_conflicts(accounts: DataFrame, matrix: DataFrame, learned: dict[str, st
         held = held.withColumn("raw", F.coalesce(F.try_element_at(table, T.status_key(F.col("raw"))), F.col("raw")))
     exact = held.select("who", F.lower("raw").alias("role")).distinct()
     if threshold is not None:
-        parts = sorted({p for r in matrix.collect() for p in (r.role_a, r.role_b)})  # the matrix: a few rows
+        rows = matrix.limit(MOST_PAIRS + 1).collect()
+        if len(rows) > MOST_PAIRS:
+            raise ValueError(f"a matrix of over {MOST_PAIRS} pairs: give threshold=None, so that roles are only looked up")
+        parts = sorted({p for r in rows for p in (r.role_a, r.role_b)})
 
         def like(s: pd.Series) -> pd.Series:
             return s.map(lambda x: [p for p in parts if N.ratio(p, x) >= threshold])
@@ -132,12 +142,12 @@ def role_conflicts(accounts: DataFrame, matrix: DataFrame, learned: dict[str, st
         exact = exact.union(held.join(alike, F.col("raw") == F.col("_raw")).select("who", F.lower("role"))).distinct()
     by_login = _first_conflict(exact, "who", matrix)
     pair = matrix.select(F.col("pos").alias("_p"), F.concat(F.col("role_a"), F.lit(" + "), F.col("role_b")).alias("_pair"))
-    out = accounts.withColumn("_w", T.low(F.col("username"))).join(by_login, F.col("_w") == F.col("_who"), "left").join(F.broadcast(pair), F.col("_pos") == F.col("_p"), "left").withColumnRenamed("_pair", "_first").drop("_w", "_who", "_pos", "_p")
+    out = accounts.withColumn("_w", T.low(F.col("username"))).join(by_login, F.col("_w") == F.col("_who"), "left").join(pair, F.col("_pos") == F.col("_p"), "left").withColumnRenamed("_pair", "_first").drop("_w", "_who", "_pos", "_p")
     detail, second = F.coalesce("_first", F.lit("")), F.lit(None).cast("string")
     if "full_name" in accounts.columns:
         by_name = accounts.select(T.name_bag(F.col("full_name")).alias("bag"), F.explode(T.cells(F.col("role"))).alias("role")).where("bag <> ''").select("bag", F.lower("role").alias("role")).distinct()
         found = _first_conflict(by_name, "bag", matrix)
-        out = out.withColumn("_b", T.name_bag(F.col("full_name"))).join(found, F.col("_b") == F.col("_bag"), "left").join(F.broadcast(pair), F.col("_pos") == F.col("_p"), "left").drop("_b", "_bag", "_pos", "_p")
+        out = out.withColumn("_b", T.name_bag(F.col("full_name"))).join(found, F.col("_b") == F.col("_bag"), "left").join(pair, F.col("_pos") == F.col("_p"), "left").drop("_b", "_bag", "_pos", "_p")
         second = F.concat(F.col("_pair"), F.lit(" (by name)"))
     out = out.withColumns({"sod_conflict_detail": F.coalesce("_first", second, detail), "sod_conflict": F.coalesce("_first", second).isNotNull()})
     return out.drop("_first", "_pair")

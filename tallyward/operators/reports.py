@@ -102,7 +102,7 @@ def quality(df: DataFrame, ref: date) -> DataFrame:
     Copies of a (username, system) are counted by key first, so a key that many rows
     share is one count; a missing manager doesn't make a row bad."""
     d = [c for c in ("last_login_date",) if c in df.columns]
-    day = {c: day_of(F.col(c), ref) for c in d}
+    day = {c: day_of(c, ref) for c in d}
     wrong, future = F.lit(False), F.lit(False)
     for c in d:
         filled = ~T.blank(F.col(c)) & ~F.lower(T.strip(F.col(c))).isin(V.NEVER_LOGGED_IN[:12])
@@ -134,13 +134,13 @@ def risk_histogram(df: DataFrame) -> DataFrame:
 
 
 def status_breakdown(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """account_status, n_current, n_previous, variation, and TOTAL; blanks are Unknown."""
+    """account_status, n_current, n_previous, variation, is_total; blanks are Unknown, the row of all TOTAL."""
     shown = lambda df: df.select(F.when(T.blank(F.col("account_status")), "Unknown").otherwise(T.strip(F.col("account_status"))).alias("account_status"))
     both = shown(current).withColumn("c", F.lit(1))
     if previous is not None:
         both = both.unionByName(shown(previous).withColumn("c", F.lit(0)))
-    per = both.groupingSets([[F.col("account_status")], []], "account_status").agg(F.sum("c").cast("long").alias("n_current"), F.sum(1 - F.col("c")).cast("long").alias("n_previous"))
-    per = per.withColumn("account_status", F.coalesce("account_status", F.lit("TOTAL")))
+    per = both.groupingSets([[F.col("account_status")], []], "account_status").agg(F.grouping("account_status").alias("whole"), F.sum("c").cast("long").alias("n_current"), F.sum(1 - F.col("c")).cast("long").alias("n_previous"))
+    per = per.withColumn("account_status", F.when(F.col("whole") == 1, "TOTAL").otherwise(F.col("account_status"))).withColumn("is_total", F.col("whole") == 1).drop("whole")
     return per.withColumn("variation", T.signed(F.col("n_current") - F.col("n_previous")))
 
 

@@ -113,7 +113,7 @@ def analyse(df: DataFrame, s: Settings, known: dict[str, dict] | None = None) ->
     how = known if known is not None else convention_map(df, dates) if s.detect_conventions else {}
     col = F.col
     no, null_int = F.lit(False), F.lit(None).cast("int")
-    age = {c: age_days(col(c), s.ref, **how.get(c, {})) if c in has else null_int for c in DATE_COLUMNS}
+    age = {c: age_days(c, s.ref, **how.get(c, {})) if c in has else null_int for c in DATE_COLUMNS}
 
     # statuses first, in a projection of their own
     st = status(col("account_status"), s.statuses) if "account_status" in has else F.struct(F.lit(True).alias("active"), no.alias("unknown"))
@@ -236,16 +236,17 @@ def scored(f: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def score(f: dict[str, Column]) -> Column:
+def score(parts: dict[str, Column]) -> Column:
+    """The points of the flags that ``scored`` gives."""
     total = F.lit(0)
     for name, points in V.POINTS:
-        total = total + F.when(scored(f)[name], points).otherwise(0)
+        total = total + F.when(parts[name], points).otherwise(0)
     return F.least(total, F.lit(100))
 
 
-def reasons(f: dict[str, Column]) -> Column:
-    each = [F.when(scored(f)[name], F.struct(F.lit(name).alias("label"), F.lit(points).alias("points"))) for name, points in V.POINTS]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+def reasons(parts: dict[str, Column]) -> Column:
+    each = [F.when(parts[name], F.struct(F.lit(name).alias("label"), F.lit(points).alias("points"))) for name, points in V.POINTS]
+    return F.array_compact(F.array(*each))
 
 
 def level(f: dict[str, Column]) -> Column:
@@ -259,7 +260,8 @@ def level(f: dict[str, Column]) -> Column:
 
 def decide(df: DataFrame, off=None) -> DataFrame:
     f = _flags(off)
-    return df.withColumns({"review_action": action(f), "risk_level": level(f), "risk_score": score(f), "risk_score_reasons": reasons(f)})
+    parts = scored(f)
+    return df.withColumns({"review_action": action(f), "risk_level": level(f), "risk_score": score(parts), "risk_score_reasons": reasons(parts)})
 
 
 def rank_of_level(c) -> Column:

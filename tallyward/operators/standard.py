@@ -11,7 +11,9 @@ from ..functions import headers as H
 from ..functions import text as T
 
 REQUIRED = ("username", "system")
-GENERIC_LOGINS = ["user", "users", "utilisateur", "account", "n/a", "na", "-"]
+# Logins that name no one, and the columns that say who it is.
+NO_ONE = ["administrator", "admin", "system", "service", "root", "guest"]
+IDENTITIES = ["identity", "samaccountname", "distinguishedname"]
 _TRUE, _FALSE = ["true", "1", "yes", "y", "oui"], ["false", "0", "no", "n", "non"]
 
 
@@ -50,7 +52,7 @@ def first_filled(*columns) -> Column:
     return F.coalesce(*[T.present(c) for c in columns])
 
 
-def standardise(df: DataFrame, headers: dict[str, str] | None = None, learned: dict[str, str] | None = None) -> Standardised:
+def standardise(df: DataFrame, headers: dict[str, list[str]] | None = None, learned: dict[str, str] | None = None) -> Standardised:
     """Columns renamed to fields. Of two columns for a field the first fills and the second helps out where it is
     blank; learned columns come before others; ignored columns go; unknown columns stay."""
     chosen: dict[str, list[tuple[str, bool]]] = {}
@@ -118,10 +120,18 @@ def login_from_home(df: DataFrame, column: str = "home_directory") -> DataFrame:
     return df.withColumn("username", T.present(F.regexp_extract(path, r"([^/\\]+)$", 1)))
 
 
-def specific_login(df: DataFrame, identity: str) -> DataFrame:
-    """A username that names no one gives way to what follows the last slash of an identity (DOMAIN\\login)."""
-    told = T.present(F.regexp_extract(F.col(identity), r"([^/\\]+)$", 1))
-    return df.withColumn("username", F.when(T.low(F.col("username")).isin(GENERIC_LOGINS) | T.blank(F.col("username")), F.coalesce(told, F.col("username"))).otherwise(F.col("username")))
+def specific_login(df: DataFrame, identity: str | None = None) -> DataFrame:
+    """A username that names no one gives way to an identity: what follows its last backslash, else its last slash, else all of it.
+
+    ``identity``: its column, else the first that is called like one; without any, nothing changes."""
+    identity = identity or next((c for c in df.columns if c.strip().lower() in IDENTITIES), None)
+    if identity is None or "username" not in df.columns:
+        return df
+    t = T.strip(F.col(f"`{identity}`"))
+    told = T.present(T.strip(F.when(F.contains(t, F.lit("\\")), F.substring_index(t, "\\", -1)).otherwise(F.substring_index(t, "/", -1))))
+    told = F.when(~T.low(told).isin(NO_ONE), told)
+    no_one = T.low(F.col("username")).isin(NO_ONE) | T.blank(F.col("username"))
+    return df.withColumn("username", F.when(no_one, F.coalesce(told, F.col("username"))).otherwise(F.col("username")))
 
 
 def full_name(df: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def date_column_autodetect(spark, d):
 @query(f"WITH {_ACC} SELECT line_no, account_created_date AS last_login_date, password_last_set FROM a")
 def date_columns_named(spark, d):
     raw = D.accounts(spark, d).select("line_no", F.col("account_created_date").alias("alpha"), F.col("password_last_set").alias("beta"))
-    return N.detect_dates(raw, least=0.7).select("line_no", "last_login_date", "password_last_set")
+    return N.detect_dates(raw).select("line_no", "last_login_date", "password_last_set")
 
 
 @query(f"WITH {_ACC} SELECT line_no, CASE WHEN NOT {blank('username')} THEN trim(username) END AS username FROM a")
@@ -83,8 +83,8 @@ def login_from_home(spark, d):
 
 @query(f"WITH {_ACC} SELECT line_no, CASE WHEN line_no % 2 = 0 THEN 'id' || CAST(line_no AS VARCHAR) ELSE 'real' END AS username FROM a")
 def specific_login(spark, d):
-    raw = D.accounts(spark, d).select("line_no", F.when(F.col("line_no") % 2 == 0, " User ").otherwise("real").alias("username"), F.concat(F.lit("CORP\\id"), F.col("line_no").cast("string")).alias("identity"))
-    return N.specific_login(raw, "identity").select("line_no", "username")
+    raw = D.accounts(spark, d).select("line_no", F.when(F.col("line_no") % 2 == 0, " Admin ").otherwise("real").alias("username"), F.concat(F.lit("CORP\\id"), F.col("line_no").cast("string")).alias("Identity"))
+    return N.specific_login(raw).select("line_no", "username")
 
 
 @query(f"WITH {_ACC}, b AS (SELECT line_no, CASE WHEN line_no % 4 <> 0 THEN ' Ann ' END AS f, CASE WHEN line_no % 3 <> 0 THEN 'L' || CAST(line_no AS VARCHAR) END AS l, CASE WHEN line_no % 5 = 0 THEN full_name END AS n FROM a) SELECT line_no, CASE WHEN NOT {blank('n')} THEN n WHEN f IS NOT NULL AND l IS NOT NULL THEN 'Ann ' || l WHEN f IS NOT NULL THEN 'Ann' ELSE l END AS full_name FROM b")

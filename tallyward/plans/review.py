@@ -14,7 +14,7 @@ from ..operators import people as P
 from ..operators import reports as R
 from ..operators import review as A
 from . import testdata as D
-from .oracle import BASE, BOTH, age, blank, cells, day, words
+from .oracle import BASE, BOTH, age, blank, cells, day, seconds, words
 
 QUERIES, ORACLE = {}, {}
 DAY_FIRST = {c: {"day_first": True} for c in A.DATE_COLUMNS}
@@ -213,8 +213,8 @@ def risk_histogram(spark, d):
 _SHOWN = f"CASE WHEN {blank('account_status')} THEN 'Unknown' ELSE trim(account_status) END"
 
 
-@query(f"""WITH b AS (SELECT {_SHOWN} AS s, 1 AS c FROM ({D.ACCOUNTS_SQL}) x UNION ALL SELECT {_SHOWN}, 0 FROM ({D.PREVIOUS_SQL}) y), g AS (SELECT s, sum(c) AS n1, sum(1 - c) AS n0 FROM b GROUP BY s UNION ALL SELECT 'TOTAL', sum(c), sum(1 - c) FROM b)
- SELECT s AS account_status, CAST(n1 AS BIGINT) AS n_current, CAST(n0 AS BIGINT) AS n_previous, CASE WHEN n1 >= n0 THEN '+' ELSE '' END || CAST(CAST(n1 - n0 AS BIGINT) AS VARCHAR) AS variation FROM g""")
+@query(f"""WITH b AS (SELECT {_SHOWN} AS s, 1 AS c FROM ({D.ACCOUNTS_SQL}) x UNION ALL SELECT {_SHOWN}, 0 FROM ({D.PREVIOUS_SQL}) y), g AS (SELECT s, sum(c) AS n1, sum(1 - c) AS n0, false AS w FROM b GROUP BY s UNION ALL SELECT 'TOTAL', sum(c), sum(1 - c), true FROM b)
+ SELECT s AS account_status, CAST(n1 AS BIGINT) AS n_current, CAST(n0 AS BIGINT) AS n_previous, CASE WHEN n1 >= n0 THEN '+' ELSE '' END || CAST(CAST(n1 - n0 AS BIGINT) AS VARCHAR) AS variation, w AS is_total FROM g""")
 def status_breakdown(spark, d):
     return R.status_breakdown(D.accounts(spark, d), D.previous(spark, d))
 
@@ -246,7 +246,7 @@ def rights_classified(spark, d):
 
 @query(f"SELECT line_no, {age('last_login_date')} AS login_age, {age('account_created_date')} AS created_age, {age('password_last_set')} AS password_age FROM ({D.ACCOUNTS_SQL}) a")
 def date_formats_age(spark, d):
-    a = {c: age_days(F.col(c), D.REF) for c in A.DATE_COLUMNS}
+    a = {c: age_days(c, D.REF) for c in A.DATE_COLUMNS}
     return D.accounts(spark, d).select("line_no", a["last_login_date"].alias("login_age"), a["account_created_date"].alias("created_age"), a["password_last_set"].alias("password_age"))
 
 
@@ -266,7 +266,7 @@ def date_conventions(spark, d):
 
 @query(f"WITH a AS (SELECT ({day('last_login_date')}) AS d FROM ({D.ACCOUNTS_SQL}) x) SELECT 'Q' || CAST(quarter(d) AS VARCHAR) || ' ' || CAST(year(d) AS VARCHAR) AS label, count(*) AS accounts FROM a WHERE d IS NOT NULL GROUP BY label")
 def quarter_labels(spark, d):
-    day_ = day_of(F.col("last_login_date"), D.REF)
+    day_ = day_of("last_login_date", D.REF)
     return D.accounts(spark, d).select(quarter_label(day_).alias("label")).where("label is not null").groupBy("label").agg(n().alias("accounts"))
 
 
@@ -340,7 +340,7 @@ def merge_outer_coalesce(spark, d):
 
 
 @query(f"""WITH {_HALVES}, x AS (SELECT DISTINCT lower(trim(username)) AS u FROM l WHERE trim(username) <> ''), y AS (SELECT DISTINCT lower(trim(username)) AS u FROM r WHERE trim(username) <> ''),
- g AS (SELECT '{'|'.join(V.GENERIC_NAMES)}' AS p), n AS (SELECT (SELECT count(*) FROM x JOIN y USING (u), g WHERE NOT regexp_matches(u, p)) AS common, (SELECT count(*) FROM x, g WHERE NOT regexp_matches(u, p)) AS size_a, (SELECT count(*) FROM y, g WHERE NOT regexp_matches(u, p)) AS size_b)
+ g AS (SELECT '^(admin|administrator|administrateur|root|guest|invite|test|service|svc|system|support|helpdesk|superadmin|demo|sample|default|backup|sa|anonymous|public)([_.-]?[0-9]*)?$' AS p), n AS (SELECT (SELECT count(*) FROM x JOIN y USING (u), g WHERE NOT regexp_matches(u, p)) AS common, (SELECT count(*) FROM x, g WHERE NOT regexp_matches(u, p)) AS size_a, (SELECT count(*) FROM y, g WHERE NOT regexp_matches(u, p)) AS size_b)
  SELECT common, size_a, size_b, round(common / least(size_a, size_b), 6) AS overlap FROM n""")
 def table_overlap(spark, d):
     return C.overlap(*_halves(spark, d))
@@ -351,12 +351,13 @@ def stack_union(spark, d):
     return C.stack(*_halves(spark, d))
 
 
-@query(f"""WITH a AS (SELECT line_no, 'P' || CAST(line_no % 100 AS VARCHAR) AS username, system, user_rights, account_created_date AS last_login_date, manager FROM ({D.ACCOUNTS_SQL}) x),
- f AS (SELECT username, system, trim(user_rights) AS v, min(line_no) AS o FROM a WHERE NOT {blank('user_rights')} GROUP BY ALL), s AS (SELECT username, system, string_agg(v, chr(10) ORDER BY o) AS user_rights FROM f GROUP BY ALL)
- SELECT a.username, a.system, coalesce(s.user_rights, '') AS user_rights, max(last_login_date) AS last_login_date, arg_min(manager, line_no) FILTER (manager IS NOT NULL) AS manager, min(line_no) AS line_no FROM a LEFT JOIN s USING (username, system) GROUP BY a.username, a.system, s.user_rights""")
+@query(f"""WITH a AS (SELECT line_no, 'P' || CAST(line_no % 100 AS VARCHAR) AS username, system, user_rights, last_login_date, manager FROM ({D.ACCOUNTS_SQL}) x),
+ f AS (SELECT username, system, trim(user_rights) AS v, min(line_no) AS o FROM a WHERE NOT {blank('user_rights')} GROUP BY ALL), s AS (SELECT username, system, string_agg(v, chr(10) ORDER BY o) AS user_rights FROM f GROUP BY ALL),
+ l AS (SELECT username, system, last_login_date FROM a WHERE last_login_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY username, system ORDER BY ({day('last_login_date')}) DESC NULLS LAST, CASE WHEN ({day('last_login_date')}) IS NULL THEN 0 ELSE {seconds('last_login_date')} END DESC, line_no) = 1)
+ SELECT a.username, a.system, coalesce(s.user_rights, '') AS user_rights, l.last_login_date, arg_min(manager, line_no) FILTER (manager IS NOT NULL) AS manager, min(line_no) AS line_no FROM a LEFT JOIN s USING (username, system) LEFT JOIN l USING (username, system) GROUP BY a.username, a.system, s.user_rights, l.last_login_date""")
 def permission_collapse(spark, d):
-    a = D.accounts(spark, d).select("line_no", F.concat(F.lit("P"), (F.col("line_no") % 100).cast("string")).alias("username"), "system", "user_rights", F.col("account_created_date").alias("last_login_date"), "manager")
-    return C.collapse_permissions(a)
+    a = D.accounts(spark, d).select("line_no", F.concat(F.lit("P"), (F.col("line_no") % 100).cast("string")).alias("username"), "system", "user_rights", "last_login_date", "manager")
+    return C.collapse_permissions(a, ref=D.REF)
 
 
 _K = "lower(trim({0}.username)) = lower(trim({1}.username)) AND lower(trim({0}.system)) = lower(trim({1}.system))"
@@ -364,13 +365,20 @@ _K = "lower(trim({0}.username)) = lower(trim({1}.username)) AND lower(trim({0}.s
 
 @query(BOTH + f" SELECT line_no, username, system FROM an WHERE NOT {blank('username')} AND NOT EXISTS (SELECT 1 FROM pr WHERE {_K.format('an', 'pr')})")
 def created_accounts(spark, d):
-    a, b = analysed(spark, d), analysed_before(spark, d)
+    a, b = D.accounts(spark, d), D.previous(spark, d)
+    return C.created(a, b, C.comparison_keys(a, b)).select("line_no", "username", "system")
+
+
+@query(f"""WITH a AS ({D.ACCOUNTS_SQL}), b AS (SELECT * FROM ({D.PREVIOUS_SQL}) x WHERE system = 'NATION_3') SELECT line_no, username, system FROM a WHERE NOT {blank('username')}
+ AND (system <> 'NATION_3' OR lower(trim(username)) NOT IN (SELECT lower(trim(username)) FROM b WHERE NOT {blank('username')}))""")
+def created_on_new_systems(spark, d):
+    a, b = D.accounts(spark, d), D.previous(spark, d).where("system = 'NATION_3'")
     return C.created(a, b, C.comparison_keys(a, b)).select("line_no", "username", "system")
 
 
 @query(BOTH + f" SELECT line_no, username, system FROM pr WHERE NOT {blank('username')} AND NOT EXISTS (SELECT 1 FROM an WHERE {_K.format('an', 'pr')})")
 def deleted_accounts(spark, d):
-    a, b = analysed(spark, d), analysed_before(spark, d)
+    a, b = D.accounts(spark, d), D.previous(spark, d)
     return C.deleted(a, b, C.comparison_keys(a, b)).select("line_no", "username", "system")
 
 
@@ -386,8 +394,8 @@ def cycle_changes(spark, d):
 
 @query(_CHANGES + f", c0 AS (SELECT DISTINCT k FROM c1 WHERE k NOT IN (SELECT k FROM p1)), d0 AS (SELECT DISTINCT k FROM p1 WHERE k NOT IN (SELECT k FROM c1)) SELECT (SELECT count(*) FROM c0) AS created, (SELECT count(*) FROM d0) AS deleted, count(*) FILTER (reactivated) AS reactivated, count(*) FILTER (profile_changed) AS profile_changed, count(*) FILTER (escalated) AS escalated FROM ch")
 def cycle_comparison(spark, d):
-    a, b = analysed(spark, d), analysed_before(spark, d)
-    return C.comparison(a, b, C.comparison_keys(a, b))
+    keys = C.comparison_keys(D.accounts(spark, d), D.previous(spark, d))
+    return C.comparison(analysed(spark, d), analysed_before(spark, d), keys)
 
 
 @query(_CHANGES + " SELECT username, system FROM ch WHERE escalated ORDER BY username, system LIMIT 20")
@@ -411,11 +419,9 @@ def review_progress(spark, d):
     return C.progress(C.latest_decisions(D.accounts(spark, d), D.view(spark, d, D.LOG)))
 
 
-@query(f"SELECT key, seq, status, validated_by, comment, ts FROM ({D.text(D.LOG)}) x WHERE key LIKE 'dba::%' AND seq > 0")
+@query(f"SELECT key, seq, status, validated_by, comment, ts FROM ({D.text(D.LOG)}) x WHERE key LIKE 'dba::%'")
 def audit_trail(spark, d):
-    log = D.view(spark, d, D.LOG)
-    systems = sorted(r.system for r in D.view(spark, d, "SELECT n_name AS system FROM {nation}").collect())  # 25 rows
-    return C.stack(*[C.audit_trail(log, " DBA", s) for s in systems])
+    return C.audit_trail(D.view(spark, d, D.LOG), " DBA")
 
 
 _ACCEPT = BASE + f""", k AS (SELECT lower(trim(username)) || '::' || lower(trim(system)) AS k, finding, arg_max(expiration_date, seq) AS e FROM ({D.text(D.ACCEPTANCES)}) x GROUP BY ALL),

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 REF = date(2001, 8, 2)
 
-_LOGIN = """CASE k % 13
+_MON = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(m AS INT) * 3 - 2, 3)"
+_MOIS = "trim(substr('janvier  février  mars     avril    mai      juin     juillet  août     septembreoctobre  novembre décembre ', CAST(m AS INT) * 9 - 8, 9))"
+_LOGIN = f"""CASE k % 23
   WHEN 0 THEN NULL WHEN 1 THEN 'never' WHEN 2 THEN '  ' WHEN 3 THEN d || '/' || m || '/' || y WHEN 4 THEN d || '.' || m || '.' || y || ' 08:15'
   WHEN 5 THEN y || m || d WHEN 6 THEN s1 || 'T14:30:00+02:00' WHEN 7 THEN '1970-01-01 00:00:00' WHEN 8 THEN 'garbage'
-  WHEN 9 THEN d || '-' || substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(m AS INT) * 3 - 2, 3) || '-' || y
-  WHEN 10 THEN 'unknown' ELSE s1 END"""
+  WHEN 9 THEN d || '-' || {_MON} || '-' || y WHEN 10 THEN 'unknown' WHEN 11 THEN d || {_MON} || y WHEN 12 THEN y || ' ' || {_MON} || ' ' || d
+  WHEN 13 THEN {_MON} || '/' || d || '/' || y WHEN 14 THEN 'Fri ' || {_MON} || ' ' || d || ' 16:05' WHEN 15 THEN s1 || ' garbage' WHEN 16 THEN s1 || 'zzz'
+  WHEN 17 THEN d || ' ' || {_MOIS} || ' ' || y WHEN 18 THEN {_MON} || ' ' || d || ', ' || y || ' 7:45 pm' ELSE s1 END"""
 
 _ACCOUNTS = """SELECT k AS line_no,
   CASE k % 29 WHEN 0 THEN 'svc_app' || t WHEN 1 THEN 'Test.Person' || t WHEN 2 THEN 'admin.' || t WHEN 3 THEN 'Guest' || t WHEN 4 THEN 'oracle_' || t
@@ -34,7 +37,7 @@ _ACCOUNTS = """SELECT k AS line_no,
   CASE WHEN k % 8 = 0 THEN NULL WHEN k % 8 = 1 THEN s0 ELSE s1 END AS password_last_set,
   CASE WHEN k % 15 = 0 THEN 'Never expires' WHEN k % 15 = 1 THEN 'ok' ELSE NULL END AS password_status,
   CASE (k + {shift}) % 12 WHEN 0 THEN 'Create Payment;Approve Payment' WHEN 1 THEN 'Administrator' WHEN 2 THEN 'Viewer' WHEN 3 THEN 'Create Vendor, Clerk' WHEN 4 THEN 'Approve Payment'
-    WHEN 5 THEN 'mtn_fa_responsable' WHEN 6 THEN 'Administrative Assistant' WHEN 7 THEN 'admin_sql;Reader' WHEN 8 THEN 'System Admin' || chr(10) || 'Auditor' WHEN 9 THEN NULL WHEN 10 THEN 'Developer;;Tester' ELSE 'Clerk' END AS role,
+    WHEN 5 THEN 'fixed_assets_responsable' WHEN 6 THEN 'Administrative Assistant' WHEN 7 THEN 'admin_sql;Reader' WHEN 8 THEN 'System Admin' || chr(10) || 'Auditor' WHEN 9 THEN NULL WHEN 10 THEN 'Developer;;Tester' ELSE 'Clerk' END AS role,
   CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'READ;WRITE' WHEN k % 4 = 2 THEN 'read, Approve' ELSE 'FULL_LEDGER' END AS user_rights
 FROM (SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS t, n_name AS system, s1, s0, substr(s1, 1, 4) AS y, substr(s1, 6, 2) AS m, substr(s1, 9, 2) AS d, substr(s0, 1, 4) AS y9, substr(s0, 6, 2) AS m9, substr(s0, 9, 2) AS d9
   FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
@@ -48,7 +51,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 HR = """SELECT c_custkey AS line_no, CASE WHEN c_custkey % 3 = 0 THEN 'C' ELSE ' c' END || CAST(c_custkey - c_custkey % 2 AS STRING) AS hr_username,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'Terminated' WHEN 'MACHINERY' THEN 'On leave' ELSE 'Active' END AS hr_employee_status,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'HR ' || c_mktsegment END AS hr_department FROM {customer} WHERE c_custkey % 7 <> 0"""
-HR_NAMES = """SELECT line_no, full_name, CASE WHEN line_no % 2 = 0 THEN 'Active' ELSE 'Terminated' END AS hr_employee_status FROM ({accounts}) a WHERE full_name IS NOT NULL AND line_no % 5 < 2 AND line_no < 400"""
+HR_NAMES = """SELECT line_no, full_name, CASE WHEN line_no % 2 = 0 THEN 'Active' ELSE 'Terminated' END AS hr_employee_status FROM ({accounts}) a WHERE full_name IS NOT NULL AND full_name NOT LIKE 'Greta%'
+  UNION ALL SELECT k, 'Only Once ' || CAST(k AS STRING), 'On leave' FROM (SELECT min(line_no) AS k FROM ({accounts}) b) c"""
 #: Everybody; some under another first name, so that there are accounts that match nobody.
 PEOPLE = """SELECT DISTINCT CASE WHEN full_name LIKE 'Greta%' OR full_name LIKE 'Felix%' THEN 'Zoltan' || substr(full_name, 6) ELSE full_name END AS full_name FROM ({accounts}) p WHERE full_name IS NOT NULL"""
 LOG = """SELECT lower(trim(username)) || '::' || lower(trim(system)) AS key, CAST(line_no * 10 + l.seq AS BIGINT) AS seq, CASE (line_no + l.seq) % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'revoked' WHEN 2 THEN 'pending' ELSE 'modified' END AS status,

@@ -149,7 +149,7 @@ def _by_name(raw: DataFrame, headers, named_system: bool) -> dict[str, DataFrame
     return out
 
 
-def html(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -> DataFrame:
+def html(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """Of a page's tables the one whose first rows look most like headers."""
     head = S.sniff_encoding(S.first_bytes(spark, path))
     raw = _parsed(spark, path, lambda c: [(f"{k:06}", t) for k, t in enumerate(html_tables(c.decode(head, errors="replace")))])
@@ -163,7 +163,7 @@ def html(spark: SparkSession, path: str, headers: dict[str, str] | None = None)
     return S.grid(raw.where(F.col("name") == name).select("line_no", "cells"), headers)
 
 
-def docx(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -> DataFrame:
+def docx(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """A Word file's tables, merged where they share logins and stacked where not; else its text."""
     from ..operators.standard import standardise
 
@@ -178,7 +178,7 @@ def docx(spark: SparkSession, path: str, headers: dict[str, str] | None = None)
     return S.delimited(rows, d, headers) if d else S.fixed_width(rows, headers)
 
 
-def xlsx(spark: SparkSession, path: str, headers: dict[str, str] | None = None, default_system: str | None = None) -> DataFrame:
+def xlsx(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None, default_system: str | None = None) -> DataFrame:
     """All sheets of a workbook, stacked; the system is the row's, else the sheet's name where there are several."""
     from ..operators.standard import standardise, with_system
 
@@ -209,7 +209,7 @@ EXTRA = {".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".ti
 PLUGINS: dict = {}
 
 
-def load(spark: SparkSession, path: str, headers: dict[str, str] | None = None, default_system: str | None = None, learned: dict[str, str] | None = None, strict: bool = True) -> DataFrame:
+def load(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None, default_system: str | None = None, learned: dict[str, str] | None = None, strict: bool = True) -> DataFrame:
     """A file of any known format in the canonical schema.
 
     Read by suffix, headers found and matched, dates detected, names and logins made up

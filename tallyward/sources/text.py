@@ -87,7 +87,7 @@ def _named(raw: DataFrame, cells: Column, at: int, names: list[str]) -> DataFram
     return raw.where(F.col("line_no") > at).select(F.col("line_no"), *[F.get(cells, k).alias(n) for k, n in enumerate(names)])
 
 
-def grid(raw: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+def grid(raw: DataFrame, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """A table from (line_no, cells): its header row is found among the first fifteen, ragged rows are padded."""
     top = raw.orderBy("line_no").limit(15).collect()
     if not top:
@@ -121,7 +121,7 @@ def csv_width(spark: SparkSession, path: str, d: str, enc: str) -> int:
     return found.agg(F.max("width")).first()[0] or 1
 
 
-def csv(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """Delimited files; the delimiter and the encoding are found out. Every cell is text; quotes may hold line ends."""
     head = first_bytes(spark, path)
     d, enc = sniff_delimiter(decoded(head)) or ",", sniff_encoding(head)
@@ -141,13 +141,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def delimited(raw: DataFrame, d: str, headers: dict[str, str] | None = None) -> DataFrame:
+def delimited(raw: DataFrame, d: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """A table from lines (line_no, line) with a delimiter."""
     cells = F.transform(F.split("line", "\\" + d if d == "|" else d), lambda x: F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"))
     return grid(raw.where(F.trim("line") != "").select("line_no", cells.alias("cells")), headers)
 
 
-def fixed_width(raw: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+def fixed_width(raw: DataFrame, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """A table from aligned lines: two or more spaces part the cells; lines of one cell are left out."""
     cells = F.split(F.trim("line"), r"\s{2,}")
     return grid(raw.select("line_no", cells.alias("cells")).where(F.size("cells") >= 2), headers)
@@ -181,7 +181,7 @@ def _names(pairs: DataFrame) -> list[str]:
     return [r.key for r in seen.orderBy("at").collect()]
 
 
-def blocks_as_tables(spark: SparkSession, path: str, headers: dict[str, str] | None = None, peek: int = 200) -> DataFrame | None:
+def blocks_as_tables(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None, peek: int = 200) -> DataFrame | None:
     """A text of several tables with a blank line between, each with its headers: standardised and stacked.
 
     A block of one line without known headers is a title; one of several lines, or fewer
@@ -211,15 +211,14 @@ def blocks_as_tables(spark: SparkSession, path: str, headers: dict[str, str] | N
     return out
 
 
-def table_groups(rows: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+def table_groups(rows: DataFrame, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """page, row, cells of positioned text with ``group_no``: a table for each run under a header row.
 
     For readers of formats without tables of their own: a row of two known headers or more
     starts a group unless it repeats the group's headers, which are dropped; rows before
     any header and rows of another width than their group's headers are dropped."""
-    known = {H.key(n).replace(" ", "") for names in H.variants(headers).values() for n in names}
-    key = lambda x: F.regexp_replace(F.lower(F.trim(x)), r"[_/\\-]|\s+", "")
-    score = F.size(F.filter("cells", lambda x: key(x).isin(sorted(known))))
+    known = sorted(H.known_names(headers))
+    score = F.size(F.filter("cells", lambda x: H.squeezed_column(x).isin(known)))
     marked = rows.withColumn("is_header", score >= 2).withColumn("head", F.when(F.col("is_header"), F.array_join("cells", "\t")))
     place = Window.orderBy("page", "row")  # one document's rows
     marked = marked.withColumn("before", F.last("head", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1)))
@@ -228,7 +227,7 @@ def table_groups(rows: DataFrame, headers: dict[str, str] | None = None) -> Data
     return marked.where((F.col("group_no") > 0) & (F.col("starts") | ~F.col("is_header")) & (F.size("cells") == F.col("width"))).select("page", "row", "group_no", "cells")
 
 
-def text(spark: SparkSession, path: str, headers: dict[str, str] | None = None) -> DataFrame:
+def text(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """Plain text: delimited if its lines are, else key-value blocks, else aligned columns."""
     sample = decoded(first_bytes(spark, path))
     raw = lines(spark, path)

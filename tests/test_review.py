@@ -66,12 +66,15 @@ DATES = {
     "134247456000000000": 30, "20260601143000Z": 30, "20260601143000.0+0100": 30, "01-Jun-26 05.13.24.623000 AM": 30, "1st June 2026": 30, "June 1, 2026": 30, "Mon, 01 Jun 2026 14:30:00 +0100": 30,
     "Jun  1 14:30:06 +0100 2026": 30, "1 juin 2026": 30, "01 giugno 2026": 30, "25/05/2026": 37, "05/25/2026": 37, "31/02/2026": None, "4 20:09:01 +0000 2025": None, "12,01,2026": None, "1970-01-01": None,
     "never": None, "": None, None: None, "12345": None, "20261345": None, "word": None,
+    "2026-06-01 garbage": None, "2026-06-01zzz": None, "01/06/2026x": None, "2026-06-01 25:10": None, "1 June 2026 or so": None, "2026-06-01Z": 30, "2026-06-01 +01:00": 30, "2026-06-01 14:30:00 CET": 30,
+    "2026-06-01 14:30:00 +01:00 (CET)": 30, "01/06/2026 2:15 pm": 30, "01.06.26 14.30.00": 30, "05Jan2026": 177, "2026 Jun 1": 30, "2026-Jun-01": 30, "Jun/01/2026": 30, "juin 2026": 30, "2026-06": 30, "06/2026": 30,
+    "Mon Jun 1 16:05": 30, "1 June": 30, "Jul 2 08:00": 364, "Feb 29 10:00": 853, "Mon Foo 1 16:05": None,
 }
 
 
 def test_dates_of_all_kinds(spark):
     df = frame(spark, "d", *[(k,) for k in DATES])
-    got = {r.d: r.a for r in df.withColumn("a", age_days(df.d, REF)).collect()}
+    got = {r.d: r.a for r in df.withColumn("a", age_days("d", REF)).collect()}
     assert got == DATES
 
 
@@ -80,7 +83,7 @@ def test_conventions(spark):
     got = {r.column_name: (r.day_first, r.year_first, r.convention) for r in conventions(df, ["a", "b", "c", "d"]).collect()}
     assert got["a"] == (True, False, "mixed") and got["b"][0] is False and got["c"] == (True, False, "guessed")
     mixed = frame(spark, "x", ("25/03/2026",), ("03/25/2026",), ("03/04/2026",))
-    days = [r.d for r in mixed.select(day_of(mixed.x, REF, convention="mixed").alias("d")).collect()]
+    days = [r.d for r in mixed.select(day_of("x", REF, convention="mixed").alias("d")).collect()]
     assert days == [date(2026, 3, 25), date(2026, 3, 25), None]
 
 
