@@ -187,15 +187,21 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list, value: str,
     return df.join(per, cond, "left").withColumn(out, F.sum(value).over(w) + F.col("__before")).drop("__before", *[f"__{c}" for c in [*by, bucket]])
 
 
-def sample_of(df: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
-    """``most`` rows of df at most, of different keys: those whose keys hash lowest.
+def thinned(df: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
+    """Rows of different keys, those whose keys hash lowest: about ``most`` where df has more.
 
     A threshold on the hash, from the number of rows, leaves somewhat fewer but for chance
-    and one row for each key, however many rows share it; what chance leaves beyond goes."""
+    and one row for each key, however many rows share it. Nothing is sorted or gathered."""
     of = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40))
     share = 0.99 * most / max(df.count(), 1)
     few = df if share >= 0.99 else df.where(of < int((1 << 40) * share))
-    return few.dropDuplicates(keys).orderBy(of, *keys).limit(most)
+    return few.dropDuplicates(keys)
+
+
+def sample_of(df: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
+    """``thinned``, and ``most`` rows at most: what chance leaves beyond goes. For narrow rows: they pass through one task."""
+    of = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40))
+    return thinned(df, keys, most, seed).orderBy(of, *keys).limit(most)
 
 
 def word_count(text):
