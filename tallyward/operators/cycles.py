@@ -56,12 +56,13 @@ def stack(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def merge_or_stack(tables: dict[str, DataFrame], least: float = 0.5, names_are_systems: bool = True) -> DataFrame:
+def merge_or_stack(tables: dict[str, DataFrame], least: float = 0.5, names_are_systems: bool = True, default_system: str | None = None) -> DataFrame:
     """Tables that share logins are merged, the others stacked.
 
     Two tables go together if half the smaller's logins are shared and their systems, if
     both name any, overlap; what goes together with a third goes together. Only counts
-    come to the driver. Stacked tables without a system take their own name."""
+    come to the driver. Of several tables, one that is merged with no other takes its own
+    name where it has no system; merged ones take the default system, if one is given."""
     names, root = list(tables), {n: n for n in tables}
 
     def find(n):
@@ -85,9 +86,10 @@ def merge_or_stack(tables: dict[str, DataFrame], least: float = 0.5, names_are_s
         t = tables[n]
         parts[find(n)] = (merge(parts[find(n)][0], t), True) if find(n) in parts else (t, False)
     out = []
-    for n, (t, _) in parts.items():
-        if names_are_systems and len(parts) > 1:
-            t = t.withColumn("system", F.coalesce(T.present(F.col("system")), F.lit(n)) if "system" in t.columns else F.lit(n))
+    for n, (t, merged) in parts.items():
+        name = default_system if merged or not names_are_systems or len(tables) < 2 else n
+        if name is not None:
+            t = t.withColumn("system", F.coalesce(T.present(F.col("system")), F.lit(name)) if "system" in t.columns else F.lit(name))
         out.append(t)
     return stack(*out)
 

@@ -159,5 +159,6 @@ def validate(df: DataFrame, required=REQUIRED, strict: bool = True) -> list[str]
     return missing
 
 
-def without_blank_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.coalesce(*[T.present(F.col(f"`{c}`").cast("string")) for c in df.columns]).isNotNull())
+def without_blank_rows(df: DataFrame, leaving=()) -> DataFrame:
+    """Without the rows that are blank in all columns but those in ``leaving``."""
+    return df.where(F.coalesce(*[T.present(F.col(f"`{c}`").cast("string")) for c in df.columns if c not in leaving]).isNotNull())

@@ -8,11 +8,15 @@ from ..functions import headers as H
 from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import people as P
+from ..operators import reports as G
 from ..operators import review as A
+from ..operators import sinks as W
 from ..operators import standard as N
+from ..sources import documents as O
+from ..sources import stores as R
 from ..sources import text as S
 from . import testdata as D
-from .oracle import blank, cells, words
+from .oracle import BASE, blank, cells, words
 
 QUERIES, ORACLE = {}, {}
 
@@ -182,11 +186,123 @@ def json_flatten(spark, d):
     return S.flatten(nested).select(F.col("event_id").cast("long").alias("event_id"), "props_k", "deep_kind")
 
 
-@query(f"WITH {_ACC} SELECT line_no, username, system FROM a")
-def xml_roundtrip(spark, d):
-    acc = D.accounts(spark, d).select("line_no", "username", "system")
-    text = acc.select("line_no", F.to_xml(F.struct("username", "system"), {"rowTag": "account"}).alias("x"))
-    return text.select("line_no", F.from_xml("x", "username string, system string", {"ignoreSurroundingSpaces": "false"}).alias("r")).select("line_no", "r.username", "r.system")
+# ---- files: written to the shared folder, read by the package's readers -----------------
+
+_FILE = "SELECT line_no, coalesce(username, '') AS username, system, coalesce(role, '') AS role, coalesce(department, '') AS department FROM a"
+_FILE_SQL = f"WITH {_ACC} {_FILE}"
+
+
+def _exported(spark, d):
+    """Accounts as an export has them: every value text, none null, line ends in roles."""
+    blank_ = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return D.accounts(spark, d).select("line_no", blank_("username"), "system", blank_("role"), blank_("department"))
+
+
+def _put(lines, name: str) -> str:
+    """Lines (order, value) as one file of the shared folder."""
+    path = f"{O.shared_folder(lines.sparkSession)}/{name}"
+    lines.orderBy("at").select("value").coalesce(1).write.text(path)
+    return path
+
+
+def _read(df):
+    """What a reader found, by the accounts' own numbers; null is blank."""
+    return df.select(F.col("number").cast("long").alias("line_no"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("username", "system", "role", "department")])
+
+
+def _canonical(raw):
+    return _read(N.standardise(raw.withColumnRenamed("line_no", "_at").withColumnRenamed("Line", "number")).df)
+
+
+@query(_FILE_SQL)
+def csv_source(spark, d):
+    path = f"{O.shared_folder(spark)}/accounts.csv"
+    acc = _exported(spark, d).selectExpr("line_no as Line", "username as `User Name`", "system as `Host`", "role as `Rôle`", "department as `Département`")
+    acc.coalesce(1).write.csv(path, header=True, sep=";", quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _canonical(S.csv(spark, path))
+
+
+@query(f"WITH {_ACC} SELECT line_no, trim(coalesce(username, '')) AS username, system, replace(coalesce(role, ''), chr(10), ',') AS role, coalesce(department, '') AS department FROM a")
+def text_source(spark, d):
+    acc = _exported(spark, d)
+    value = F.concat_ws("\t", F.col("line_no").cast("string"), "username", "system", F.translate("role", "\n", ","), "department")
+    top = spark.createDataFrame([(-2, "Export of accounts"), (-1, "\t".join(["Line", "Login", "Application", "Profil", "Service"]))], "at long, value string")
+    return _canonical(S.text(spark, _put(top.union(acc.select(F.col("line_no").alias("at"), value.alias("value"))), "accounts.txt")))
+
+
+@query(f"WITH {_ACC} SELECT line_no, trim(coalesce(username, '')) AS username, system, replace(coalesce(role, ''), chr(10), ',') AS role, coalesce(department, '') AS department FROM a")
+def key_value_source(spark, d):
+    acc = _exported(spark, d)
+    value = F.concat(F.lit("Line: "), F.col("line_no").cast("string"), F.lit("\nLogin: "), "username", F.lit("\nHost name = "), "system", F.lit("\n- Role: "), F.translate("role", "\n", ","), F.lit("\nService: "), "department", F.lit("\n"))
+    return _canonical(S.text(spark, _put(acc.select(F.col("line_no").alias("at"), value.alias("value")), "accounts.txt")))
+
+
+@query(f"WITH {_ACC} SELECT line_no, trim(coalesce(username, '')) AS username, 'Directory' AS system, replace(coalesce(role, ''), chr(10), ',') AS role, coalesce(department, '') AS department FROM a")
+def ldif_source(spark, d):
+    acc = _exported(spark, d)
+    value = F.concat(F.lit("# entry\ndn: cn=x\nline: "), F.col("line_no").cast("string"), F.lit("\nsAMAccountName: "), "username", F.lit("\nmemberOf: "), F.translate("role", "\n", ","), F.lit("\ndepartment: "), F.substring("department", 1, 2), F.lit("\n "), F.expr("substring(department, 3)"), F.lit("\n"))
+    raw = S.ldif(spark, _put(acc.select(F.col("line_no").alias("at"), value.alias("value")), "accounts.ldif"), "Directory")
+    return _canonical(raw.withColumnRenamed("line", "Line"))
+
+
+@query(_FILE_SQL)
+def json_source(spark, d):
+    acc = _exported(spark, d).select(F.col("line_no").alias("at"), F.to_json(F.struct(F.col("line_no").alias("Line"), F.struct("username", F.col("system").alias("host")).alias("user"), "role", "department")).alias("value"))
+    raw = S.json(spark, _put(acc, "accounts.json"))
+    return _canonical(raw.withColumnsRenamed({"user_username": "login", "user_host": "host"}))
+
+
+@query(f"WITH {_ACC} SELECT line_no, trim(coalesce(username, '')) AS username, system, coalesce(role, '') AS role, coalesce(department, '') AS department FROM a")
+def xml_source(spark, d):
+    path = f"{O.shared_folder(spark)}/accounts.xml"
+    _exported(spark, d).withColumnRenamed("line_no", "Line").write.format("xml").options(rootTag="accounts", rowTag="account").save(path)
+    return _canonical(O.xml(spark, path))
+
+
+@query(f"WITH {_ACC} SELECT line_no, trim(coalesce(username, '')) AS username, system, trim(regexp_replace(coalesce(role, ''), '\\s+', ' ', 'g')) AS role, coalesce(department, '') AS department FROM a")
+def html_source(spark, d):
+    cell = lambda c: F.concat(F.lit("<td>"), F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("</td>"))
+    rows = _exported(spark, d).select(F.col("line_no").alias("at"), F.concat(F.lit("<tr>"), *[cell(c) for c in ("line_no", "username", "system", "role", "department")], F.lit("</tr>")).alias("value"))
+    top = spark.createDataFrame([(-2, "<html><table><tr><td>menu</td><td>home</td></tr></table><h1>Accounts</h1><table>"), (-1, "<tr><th>Line</th><th>User</th><th>Host</th><th>Role</th><th>Department</th></tr>"), (1 << 60, "</table></html>")], "at long, value string")
+    return _canonical(O.html(spark, _put(top.union(rows), "accounts.html")))
+
+
+@query(f"WITH {_ACC}, l AS (SELECT line_no, 'c' || CAST(line_no AS VARCHAR) AS username, coalesce(department, '') AS department FROM a WHERE line_no % 3 <> 0), r AS (SELECT line_no, 'c' || CAST(line_no AS VARCHAR) AS username, coalesce(manager, '') AS manager FROM a WHERE line_no % 3 <> 1) SELECT coalesce(l.username, r.username) AS username, coalesce(department, '') AS department, trim(coalesce(manager, '')) AS manager FROM l FULL JOIN r USING (username)")
+def archive_source(spark, d):
+    """Two members that share two thirds of their logins: merged by column."""
+    acc = D.accounts(spark, d)
+    part = lambda keep, c: acc.where(keep).select(F.col("line_no").alias("at"), F.concat_ws(";", F.concat(F.lit("c"), F.col("line_no").cast("string")), F.coalesce(F.trim(c), F.lit(""))).alias("value"))
+    top = lambda *names: spark.createDataFrame([(-1, ";".join(names))], "at long, value string")
+    members = {"q1/accounts.csv": top("Login", "Department").union(part("line_no % 3 <> 0", "department")), "q2/accounts.csv": top("Login", "Manager").union(part("line_no % 3 <> 1", "manager"))}
+    path = O.shared_folder(spark) + "/accounts.zip"
+    content = {n: "\n".join(r.value for r in m.orderBy("at").toLocalIterator()) for n, m in members.items()}  # an archive of a few exports is made by the driver
+    O.put_archive(spark, path, content)
+    out = O.archive(spark, path)
+    return out.select("username", F.coalesce("department", F.lit("")).alias("department"), F.coalesce("manager", F.lit("")).alias("manager"))
+
+
+@query(f"SELECT key, seq, status, validated_by, comment, ts FROM ({D.text(D.LOG)}) x")
+def log_store(spark, d):
+    """The log appended in three entries and read as one table."""
+    path = O.shared_folder(spark) + "/log"
+    log = D.view(spark, d, D.LOG)
+    for k in range(3):
+        R.append(log.where(F.col("seq") % 3 == k), path)
+    return R.read_table(spark, path, R.LOG_SCHEMA)
+
+
+@query(BASE + " SELECT CAST(n AS INT) AS number, c AS accounts FROM (VALUES " + ", ".join(f"({n}, (SELECT count(*) FROM an WHERE {cond}))" for n, cond in {2: "is_dormant", 3: "is_orphaned_account AND is_active_for_audit", 4: "is_test_account AND is_active_for_audit", 5: "is_active_for_audit", 6: "is_never_used", 7: "is_service_account AND is_active_for_audit", 8: "is_duplicate_account", 10: "is_recently_created", 14: "is_password_stale AND is_active_for_audit", 16: "is_privileged_flag AND is_active_for_audit", 18: "is_terminated_but_active"}.items()) + ") v(n, c)")
+def workbook_tables(spark, d):
+    """Rows of each control's table in a written workbook."""
+    acc = D.accounts(spark, d)
+    an = A.analyse(acc, A.Settings(D.REF), known={c: {"day_first": True} for c in A.DATE_COLUMNS})
+    folder = O.shared_folder(spark) + "/book"
+    W.write_workbook(an, G.control_coverage(an, had=set(acc.columns)), folder)
+    counts = [spark.read.parquet(f"{folder}/control_{n:02}").agg(F.lit(n).alias("number"), F.count("*").alias("accounts")) for n in (2, 3, 4, 5, 6, 7, 8, 10, 14, 16, 18)]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
 
 
 @query(f"WITH m AS (SELECT * FROM (VALUES (0, 'a', 'b'), (1, ' ', 'c'), (2, 'Same', 'same '), (3, 'x', 'y')) v(k, a, b)) SELECT CAST(k AS INT) AS pos, a AS role_a, b AS role_b FROM m WHERE trim(a) <> '' AND trim(b) <> '' AND lower(trim(a)) <> lower(trim(b))")

@@ -4,8 +4,12 @@ Formats that Spark doesn't read are parsed with the standard library, a file in
 
 from __future__ import annotations
 
+import atexit
 import io
 import re
+import shutil
+import tempfile
+import uuid
 import zipfile
 from html.parser import HTMLParser
 from pathlib import PurePosixPath
@@ -141,7 +145,7 @@ def _parsed(spark: SparkSession, path: str, parse) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "name string, line_no long, cells array<string>")
 
 
-def _by_name(raw: DataFrame, headers, named_system: bool) -> dict[str, DataFrame]:
+def _by_name(raw: DataFrame, headers) -> dict[str, DataFrame]:
     """The tables of a parsed file, by name: names are metadata and come to the driver."""
     out = {}
     for r in raw.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").collect():
@@ -153,13 +157,12 @@ def html(spark: SparkSession, path: str, headers: dict[str, list[str]] | None =
     """Of a page's tables the one whose first rows look most like headers."""
     head = S.sniff_encoding(S.first_bytes(spark, path))
     raw = _parsed(spark, path, lambda c: [(f"{k:06}", t) for k, t in enumerate(html_tables(c.decode(head, errors="replace")))])
-    tops = raw.where("line_no < 3").orderBy("name", "line_no").limit(3000).collect()
-    if not tops:
+    known = sorted(H.known_names(headers))
+    names = F.size(F.filter("cells", lambda c: H.squeezed_column(c).isin(known)))
+    best = raw.where("line_no < 3").groupBy("name").agg(F.max(names).alias("n")).orderBy(F.desc("n"), "name").first()
+    if best is None:
         raise SourceError(f"no table in {path}")
-    best: dict[str, int] = {}
-    for r in tops:
-        best[r.name] = max(best.get(r.name, -1), H.score(r.cells, headers))
-    name = max(best, key=lambda n: (best[n], -int(n)))
+    name = best.name
     return S.grid(raw.where(F.col("name") == name).select("line_no", "cells"), headers)
 
 
@@ -168,7 +171,7 @@ def docx(spark: SparkSession, path: str, headers: dict[str, list[str]] | None =
     from ..operators.standard import standardise
 
     raw = _parsed(spark, path, lambda c: [(f"table {k + 1}", t) for k, t in enumerate(word_tables(c)[0])])
-    tables = {n: standardise(t, headers).df for n, t in _by_name(raw, headers, True).items()}
+    tables = {n: standardise(t, headers).df for n, t in _by_name(raw, headers).items()}
     if tables:
         return next(iter(tables.values())) if len(tables) == 1 else merge_or_stack(tables, names_are_systems=False)
     body = _parsed(spark, path, lambda c: [("text", [[p] for p in word_tables(c)[1]])])
@@ -182,7 +185,7 @@ def xlsx(spark: SparkSession, path: str, headers: dict[str, list[str]] | None =
     """All sheets of a workbook, stacked; the system is the row's, else the sheet's name where there are several."""
     from ..operators.standard import standardise, with_system
 
-    sheets = _by_name(_parsed(spark, path, excel_sheets), headers, True)
+    sheets = _by_name(_parsed(spark, path, excel_sheets), headers)
     if not sheets:
         raise SourceError(f"no rows in {path}")
     out = None
@@ -192,6 +195,13 @@ def xlsx(spark: SparkSession, path: str, headers: dict[str, list[str]] | None =
     return out
 
 
+def sheets(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """The sheets of a workbook by name, in its order, with their own columns."""
+    order = _parsed(spark, path, lambda c: [(f"{k:06}", [[name]]) for k, (name, _) in enumerate(excel_sheets(c))])
+    found = _by_name(_parsed(spark, path, excel_sheets), headers)
+    return {r.cells[0]: found[r.cells[0]] for r in order.orderBy("name").collect() if r.cells[0] in found}
+
+
 def xml(spark: SparkSession, path: str) -> DataFrame:
     """Repeated elements: the tag that repeats right below the root; attributes and children as text columns."""
     content = S.decoded(S.first_bytes(spark, path, 1 << 16))
@@ -209,12 +219,13 @@ EXTRA = {".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".ti
 PLUGINS: dict = {}
 
 
-def load(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None, default_system: str | None = None, learned: dict[str, str] | None = None, strict: bool = True) -> DataFrame:
+def load(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None, default_system: str | None = None, learned: dict[str, str] | None = None, strict: bool = True, fill_system: bool = True) -> DataFrame:
     """A file of any known format in the canonical schema.
 
     Read by suffix, headers found and matched, dates detected, names and logins made up
-    where the file has parts of them, the system filled (the file's name by default),
-    rows of one permission each collapsed; required fields are checked if ``strict``."""
+    where the file has parts of them, logins that name no one replaced by an identity, the
+    system filled (the file's name by default), rows of one permission or role each
+    collapsed, blank rows dropped; required fields are checked if ``strict``."""
     from ..operators import standard as N
     from ..operators.cycles import collapse_permissions
 
@@ -236,39 +247,99 @@ def load(spark: SparkSession, path: str, headers: dict[str, list[str]] | None =
     order = raw.select("line_no") if "line_no" in raw.columns else None
     done = N.standardise(raw, headers, learned).df
     done = N.detect_dates(done)
-    done = N.full_name(N.login_from_home(done))
-    done = N.with_system(done, system)
-    if suffix not in (".xlsx", ".xlsm") and "user_rights" in done.columns and "username" in done.columns and order is not None and "line_no" in done.columns:
-        done = collapse_permissions(done)
+    done = N.specific_login(N.full_name(N.login_from_home(done)))
+    done = N.without_blank_rows(done, leaving=("line_no", "_ocr_source"))
+    done = N.with_system(done, system) if fill_system else done
+    many = next((c for c in ("user_rights", "role") if c in done.columns), None)
+    if suffix not in (".xlsx", ".xlsm") and many and "username" in done.columns and order is not None and "line_no" in done.columns:
+        done = collapse_permissions(done, many)
     N.validate(done, strict=strict)
     return done
 
 
-def archive(spark: SparkSession, path: str, headers=None, default_system: str = "archive", learned=None) -> DataFrame:
-    """All readable members of a ZIP, each loaded by its format, merged or stacked; bad members are left out.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where every executor finds files: in ``spark.checkpoint.dir``; a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise SourceError("set spark.checkpoint.dir to a folder that all executors share")
+        if not hasattr(spark, "_tallyward_unpacked"):
+            folder = tempfile.mkdtemp(prefix="tallyward-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            spark._tallyward_unpacked = "file://" + folder
+        base = spark._tallyward_unpacked
+    return f"{base.rstrip('/')}/unpacked-{uuid.uuid4().hex}"
 
-    Members are unpacked next to other shared files (``spark.checkpoint.dir``), where every
-    executor finds them, through Spark's own file system."""
-    import uuid
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp").rstrip("/") + f"/unpacked-{uuid.uuid4().hex}"
-    content = spark.read.format("binaryFile").load(path).select("content").first()
+def archive(spark: SparkSession, path: str, headers=None, default_system: str = "archive", learned=None) -> DataFrame:
+    """All readable members of the ZIPs that ``path`` matches, each loaded by its format, merged or stacked; bad members are left out.
+
+    Members go by their full names, and by their archive's where there are several; as
+    systems, by as much of them as tells them apart. They are unpacked through Spark's own
+    file system to a shared folder, which is deleted where no member can be read and else
+    stays as long as the table is read (``remove_unpacked``)."""
+    base = shared_folder(spark)
+    found = spark.read.format("binaryFile").load(path).select("path", "content").orderBy("path")
     tables: dict[str, DataFrame] = {}
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    with zipfile.ZipFile(io.BytesIO(bytes(content.content))) as z:
-        for member in z.namelist():
-            suffix = PurePosixPath(member).suffix.lower()
-            if member.endswith("/") or suffix not in READERS and suffix not in PLAIN:
-                continue
-            target = f"{base}/{len(tables)}/{PurePosixPath(member).name}"
-            p = jvm.org.apache.hadoop.fs.Path(target)
-            stream = p.getFileSystem(conf).create(p)
-            stream.write(z.read(member))
-            stream.close()
-            try:
-                tables[PurePosixPath(member).stem] = load(spark, target, headers, PurePosixPath(member).stem, learned, strict=False)
-            except (SourceError, PySparkException, ValueError):
-                continue
+    fs = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = 0
+    members = []
+    for row in found.toLocalIterator():  # one archive at a time
+        with zipfile.ZipFile(io.BytesIO(bytes(row.content))) as z:
+            for member in z.namelist():
+                suffix = PurePosixPath(member).suffix.lower()
+                if member.endswith("/") or suffix not in READERS and suffix not in PLAIN:
+                    continue
+                target = f"{base}/{at}/{PurePosixPath(member).name}"
+                at += 1
+                stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(target))
+                stream.write(z.read(member))
+                stream.close()
+                members.append((PurePosixPath(row.path).stem, PurePosixPath(member), target))
+    names = system_names([(PurePosixPath(a) / m.with_suffix("")).parts for a, m, _ in members])
+    for name, (_, _, target) in zip(names, members):
+        try:
+            tables[name] = load(spark, target, headers, name, learned, strict=False, fill_system=False)
+        except (SourceError, PySparkException, ValueError):
+            continue
     if not tables:
+        remove_unpacked(spark, base)
         raise SourceError(f"no readable member in {path}")
-    return next(iter(tables.values())) if len(tables) == 1 else merge_or_stack(tables)
+    out = merge_or_stack(tables, default_system=default_system)
+    out._tallyward_unpacked = base
+    return out
+
+
+def put_archive(spark: SparkSession, path: str, members: dict[str, str]) -> None:
+    """A ZIP of texts, through Spark's own file system."""
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    stream.write(f.getvalue())
+    stream.close()
+
+
+def remove_unpacked(spark: SparkSession, folder: str) -> None:
+    """Delete the folder (``_tallyward_unpacked`` of an archive's table) once the table isn't read any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def system_names(paths: list[tuple[str, ...]]) -> list[str]:
+    """A name for each path: its last part, with as many parts before it as tell it from the others; equal paths are numbered."""
+    out = []
+    for p in paths:
+        k = 1
+        while k < len(p) and sum(q[-k:] == p[-k:] for q in paths) > 1:
+            k += 1
+        out.append("/".join(p[-k:]))
+    seen: dict[str, int] = {}
+    for i, name in enumerate(out):
+        seen[name] = seen.get(name, 0) + 1
+        if seen[name] > 1:
+            out[i] = f"{name} ({seen[name]})"
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import uuid
 
@@ -90,13 +91,35 @@ def find_column(columns: list[str], candidates: list[str], learned: dict[str, st
 NAME_WORDS = ["full name", "nom complet", "nom prenom", "employee name", "name", "nom", "prenom", "full"]
 
 
-def people(spark: SparkSession, path: str, learned: dict[str, str] | None = None) -> DataFrame:
-    """A list of people who moved or left: its name column as full_name (blanks go), other columns as they are."""
-    raw = documents.READERS.get(os.path.splitext(path)[1].lower(), documents.PLAIN.get(os.path.splitext(path)[1].lower()))
+# Words in the name of a sheet that lists people who moved.
+MOVED_SHEETS = ["affectation", "mutation", "transfert", "transfer"]
+
+
+def people_sheet(tables: dict[str, DataFrame], learned: dict[str, str] | None = None, sheet: str | None = None) -> DataFrame:
+    """The sheet asked for; else of those named like a list of moved people, or of all, the first with a column of names, those of the latest year in their name first."""
+    if sheet is not None:
+        if sheet not in tables:
+            raise documents.SourceError(f"no sheet {sheet!r}; there are {sorted(tables)}")
+        return tables[sheet]
+    hinted = [n for n in tables if any(w in n.lower() for w in MOVED_SHEETS)] or list(tables)
+    year = lambda n: max(map(int, re.findall(r"(?:19|20)\d\d", n)), default=0)
+    hinted = sorted(hinted, key=lambda n: -year(n))
+    named = [n for n in hinted if find_column([c for c in tables[n].columns if c != "line_no"], NAME_WORDS, learned, "transfer_full_name")]
+    return tables[(named or hinted)[0]]
+
+
+def people(spark: SparkSession, path: str, learned: dict[str, str] | None = None, sheet: str | None = None) -> DataFrame:
+    """A list of people who moved or left: its name column as full_name (blanks go), other columns as they are.
+
+    Of a workbook one sheet is read: ``sheet``, or the one that ``people_sheet`` finds."""
+    suffix = os.path.splitext(path)[1].lower()
+    raw = documents.READERS.get(suffix, documents.PLAIN.get(suffix))
     if raw is None:
         raise documents.SourceError(f"unknown format of {path}")
-    df = raw(spark, path)
-    df = df.drop("system")
+    if raw is documents.xlsx:
+        df = people_sheet(documents.sheets(spark, path), learned, sheet)
+    else:
+        df = raw(spark, path).drop("system")
     columns = [c for c in df.columns if c != "line_no"]
     name = find_column(columns, NAME_WORDS, learned, "transfer_full_name")
     if name is None:  # the first column of words

@@ -102,8 +102,19 @@ def _filled(c) -> Column:
     return F.exists(c, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
 
 
-def csv_width(spark: SparkSession, path: str, d: str, enc: str) -> int:
-    """Cells of the widest row of the whole file; quotes may hold line ends and delimiters."""
+def csv_shape(spark: SparkSession, path: str, d: str, enc: str) -> tuple[int, bool]:
+    """Cells of the widest row of the whole file, and whether a row may go over several lines: then a line holds an odd number of quotes.
+
+    Lines are counted apart, in as many tasks as the file has splits; only a file in
+    two-byte characters or with rows over several lines is gone through whole."""
+    if not enc.startswith("UTF-16"):
+        line = F.col("value")
+        bare = F.regexp_replace(line, '"[^"]*"', "")
+        cells = F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) + 1
+        odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+        row = spark.read.text(path).agg(F.max(cells).alias("width"), F.max(odd).alias("odd")).first()
+        if not row.odd:
+            return row.width or 1, False
 
     def widest(batches):
         import csv as reader
@@ -118,24 +129,26 @@ def csv_width(spark: SparkSession, path: str, d: str, enc: str) -> int:
                 yield pa.RecordBatch.from_arrays([pa.array([max(map(len, rows), default=1)], pa.int32())], names=["width"])
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(widest, "width int")
-    return found.agg(F.max("width")).first()[0] or 1
+    return found.agg(F.max("width")).first()[0] or 1, True
 
 
 def csv(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
     """Delimited files; the delimiter and the encoding are found out. Every cell is text; quotes may hold line ends."""
     head = first_bytes(spark, path)
     d, enc = sniff_delimiter(decoded(head)) or ",", sniff_encoding(head)
-    width = csv_width(spark, path, d, enc)
+    width, over_lines = csv_shape(spark, path, d, enc)
     schema = ", ".join(f"c{k} string" for k in range(width + 8))
-    raw = spark.read.csv(path, sep=d, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", schema=schema, encoding=spark_encoding(enc), maxCharsPerColumn=-1, maxColumns=width + 9)
+    raw = spark.read.csv(path, sep=d, header=False, multiLine=over_lines, quote='"', escape='"', mode="PERMISSIVE", schema=schema, encoding=spark_encoding(enc), maxCharsPerColumn=-1, maxColumns=width + 9)
     cells = F.array(*[as_read(F.col(c), enc) for c in raw.columns[:width]])
     rows = raw.select(F.monotonically_increasing_id().alias("line_no"), cells.alias("cells")).where(_filled("cells"))
     return grid(rows, headers)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, line of a text file in any encoding."""
+    """line_no (rising), line of a text file in any encoding; a file in one that Spark splits is many tasks."""
     enc = sniff_encoding(first_bytes(spark, path))
+    if enc == "UTF-8":
+        return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), as_read(F.col("value"), enc).alias("line"))
     whole = spark.read.format("binaryFile").load(path).select(as_read(F.decode("content", spark_encoding(enc)), enc).alias("text"))
     text = F.regexp_replace("text", "\r\n?", "\n")
     return whole.select(F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
@@ -216,15 +229,16 @@ def table_groups(rows: DataFrame, headers: dict[str, list[str]] | None = None) -
 
     For readers of formats without tables of their own: a row of two known headers or more
     starts a group unless it repeats the group's headers, which are dropped; rows before
-    any header and rows of another width than their group's headers are dropped."""
+    any header and rows of another width than their group's headers are dropped. A column
+    ``document`` keeps several documents apart."""
     known = sorted(H.known_names(headers))
     score = F.size(F.filter("cells", lambda x: H.squeezed_column(x).isin(known)))
     marked = rows.withColumn("is_header", score >= 2).withColumn("head", F.when(F.col("is_header"), F.array_join("cells", "\t")))
-    place = Window.orderBy("page", "row")  # one document's rows
+    place = Window.partitionBy(*[c for c in ("document",) if c in rows.columns]).orderBy("page", "row")  # one document's rows
     marked = marked.withColumn("before", F.last("head", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1)))
     marked = marked.withColumn("starts", F.col("is_header") & ~F.coalesce(F.col("head") == F.col("before"), F.lit(False)))
     marked = marked.withColumns({"group_no": F.sum(F.col("starts").cast("int")).over(place), "width": F.last(F.when(F.col("starts"), F.size("cells")), ignorenulls=True).over(place)})
-    return marked.where((F.col("group_no") > 0) & (F.col("starts") | ~F.col("is_header")) & (F.size("cells") == F.col("width"))).select("page", "row", "group_no", "cells")
+    return marked.where((F.col("group_no") > 0) & (F.col("starts") | ~F.col("is_header")) & (F.size("cells") == F.col("width"))).select(*[c for c in ("document",) if c in rows.columns], "page", "row", "group_no", "cells")
 
 
 def text(spark: SparkSession, path: str, headers: dict[str, list[str]] | None = None) -> DataFrame:
@@ -286,11 +300,23 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*out)
 
 
+def _object_lines(sample: str) -> bool:
+    """Whether the first line is an object and the second begins another."""
+    from json import loads
+
+    first = [x.strip() for x in sample.splitlines() if x.strip()][:2]
+    try:
+        return len(first) == 2 and first[1].startswith("{") and isinstance(loads(first[0]), dict)
+    except ValueError:
+        return False
+
+
 def json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of objects, an object that holds one under a usual key, or a single object; nested fields flattened."""
+    """A list of objects, an object that holds one under a usual key, a single object, or an object on each line; nested fields flattened."""
     from pyspark.sql import types as T
 
-    df = spark.read.json(path, multiLine=True, encoding=spark_encoding(sniff_encoding(first_bytes(spark, path))))
+    head = first_bytes(spark, path)
+    df = spark.read.json(path, multiLine=not _object_lines(decoded(head)), encoding=spark_encoding(sniff_encoding(head)))
     if "_corrupt_record" in df.columns:
         raise SourceError(f"{path} is not JSON")
     for k in LIST_KEYS:

@@ -159,3 +159,43 @@ def test_all_keys_and_all_tables(spark, tmp_path):
     tables = "\n\n".join(("username;system\n" if i % 2 else "username;status\n") + f"u{i};s{i}" for i in range(230))
     got = S.text(spark, put(tmp_path, "x.txt", tables)).collect()
     assert {r.username for r in got} == {f"u{i}" for i in range(230)} and len(got) == 230
+
+
+def zipped(members):
+    f = io.BytesIO()
+    with zipfile.ZipFile(f, "w") as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+    return f.getvalue()
+
+
+def test_archives_keep_members_of_one_name_and_shared_logins_apart(spark, tmp_path):
+    generic = ["admin", "test"]
+    one = lambda logins: "username,account_status\n" + "".join(f"{u},Active\n" for u in logins)
+    rows = D.load(spark, put(tmp_path, "a.zip", zipped({"AD.csv": one([*generic, "jdupont", "mmartin"]), "SAP.csv": one([*generic, "kbrou", "asylla"]), "readme.md": "no"}))).collect()
+    assert len(rows) == 8 and {(r.username, r.system) for r in rows if r.username == "admin"} == {("admin", "AD"), ("admin", "SAP")}
+    rows = D.load(spark, put(tmp_path, "b.zip", zipped({"q1/users.csv": one(["ann", "bob"]), "q2/users.csv": one(["cy", "dan", "eve"])}))).collect()
+    assert {(r.username, r.system) for r in rows} == {("ann", "q1/users"), ("bob", "q1/users"), ("cy", "q2/users"), ("dan", "q2/users"), ("eve", "q2/users")}
+    merged = D.load(spark, put(tmp_path, "c.zip", zipped({"x.csv": one(["user0", "user1", "jsales", "ann"]), "y.csv": "username,manager\nuser0,M\nuser1,N\njsales,O\nbob,P\n"}))).collect()
+    assert len(merged) == 5 and {r.manager for r in merged if r.username == "jsales"} == {"O"}
+    with pytest.raises(S.SourceError):
+        D.load(spark, put(tmp_path, "d.zip", zipped({"readme.md": "no"})))
+    many = D.archive(spark, str(tmp_path / "[ab].zip")).collect()
+    assert len(many) == 13
+
+
+def test_collapse_on_roles_and_logins_that_name_no_one(spark, tmp_path):
+    text = "Username,Identity,Role,Last Login Date\nADMINISTRATOR,CORP\\ann,Reader,31/01/2020\nann,,Writer,01/12/2024\nbob,,Reader,\n,,,\nsystem,root,X,05/05/2024\n"
+    rows = {r.username: r for r in D.load(spark, put(tmp_path, "x.csv", text)).collect()}
+    assert set(rows) == {"ann", "bob", "system"} and rows["ann"].role == "Reader\nWriter" and rows["ann"].last_login_date == "01/12/2024"
+
+
+def test_split_files_and_object_lines(spark, tmp_path):
+    body = "\n".join(f"u{i};App;Active" + (";extra" if i == 4000 else "") for i in range(5000))
+    wide = S.csv(spark, put(tmp_path, "w.csv", "User;Host;Status\n" + body + "\n"))
+    assert wide.count() == 5000 and wide.where("unnamed_3 = 'extra'").count() == 1
+    assert S.csv_shape(spark, str(tmp_path / "w.csv"), ";", "UTF-8") == (4, False)
+    put(tmp_path, "q.csv", 'a;b\n"x\ny";z\n')
+    assert S.csv_shape(spark, str(tmp_path / "q.csv"), ";", "UTF-8") == (2, True)
+    lines = S.json(spark, put(tmp_path, "l.json", '{"username": "ann", "system": "A"}\n{"username": "bob", "system": "B"}\n'))
+    assert {r.username for r in lines.collect()} == {"ann", "bob"}

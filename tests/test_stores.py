@@ -45,20 +45,30 @@ def test_lists_of_people_and_conflicts(spark, tmp_path):
     assert [(r.role_a, r.role_b) for r in stores.conflict_matrix(spark, str(tmp_path / "m.csv")).collect()] == [("Create", "Approve")]
 
 
+def test_sheet_of_moved_people(spark):
+    table = lambda *names: spark.createDataFrame([tuple("x" for _ in names)], list(names))
+    tables = {"Accueil": table("Nom"), "Affectation 2025": table("Nom & Prénoms"), "Affectation-Mutation 2026": table("Nom & Prénoms", "k"), "Transfer 2027": table("code")}
+    assert stores.people_sheet(tables).columns == ["Nom & Prénoms", "k"]
+    assert stores.people_sheet(tables, sheet="Accueil").columns == ["Nom"]
+    assert stores.people_sheet({"a": table("code"), "b": table("full name")}).columns == ["full name"]
+    with pytest.raises(stores.documents.SourceError):
+        stores.people_sheet(tables, sheet="Other")
+
+
 def test_report_tables_agree_with_figures(spark, tmp_path):
     df = review.analyse(accounts(spark), review.Settings(REF)).cache()
     coverage = reports.control_coverage(df)
     sinks.write_workbook(df, coverage, str(tmp_path / "book"))
     for r in coverage.where("found is not null").collect():
-        if r.number in sinks.CONTROL_COLUMNS:
+        if r.number in sinks.READS and r.found is not None:
             assert spark.read.parquet(str(tmp_path / "book" / f"control_{r.number:02}")).count() == r.found
     assert spark.read.parquet(str(tmp_path / "book" / "accounts")).count() == 500
     text = sinks.markdown_report(coverage, reports.risk_histogram(df), reports.status_breakdown(df))
     assert "| 2 | Dormant | WARN |" in text and "| TOTAL | 500 | 0 | +500 |" in text
     sinks.write_csv(sinks.shown(df, ["username", "review_action", "is_privileged_flag"]), str(tmp_path / "csv"))
-    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["Account", "OWNER comments", "Privileged"]
-    assert sinks.report_name(df, ".md", REF) == "s0-s1_APPLICATION_Application User access & profile review Q3 2026_01072026.md"
-    assert sinks.report_name(df, "md", REF, origin="a/b c").startswith("a_b_c_")
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["Username", "Review action", "Privileged"]
+    assert sinks.report_name(df, ".md", REF) == "access-review_s0-s1_2026-Q3_20260701.md"
+    assert sinks.report_name(df, "md", REF, origin="a/b c").startswith("access-review_a_b_c_")
     f = tmp_path / "s.json"
     f.write_text("{}")
     (tmp_path / "b.zip").write_bytes(sinks.backup([str(f), str(tmp_path / "none.json")]))
