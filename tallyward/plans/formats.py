@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
@@ -313,3 +314,32 @@ def conflict_matrix(spark, d):
 @query(f"WITH {_ACC} SELECT line_no, length(role) AS n, regexp_matches(lower(role), '(^|[^a-z0-9_])({'|'.join(V.PRIVILEGED_ROLE_WORDS)})([^a-z0-9_]|$)') OR regexp_matches(lower(role), '{V.ADMIN_GROUP.replace('?:', '')}') OR regexp_matches(lower(role), '{'|'.join(V.PRIVILEGED_ROLE_PARTS)}') AS privileged FROM a WHERE role IS NOT NULL")
 def privileged_roles(spark, d):
     return D.accounts(spark, d).where("role is not null").select("line_no", F.length("role").cast("long").alias("n"), A.is_privileged_role(F.col("role")).alias("privileged"))
+
+
+@query(f"WITH {_ACC} SELECT line_no, username, system FROM a WHERE line_no % 3 <> 0")
+def blank_rows_dropped(spark, d):
+    keep = F.col("line_no") % 3 != 0
+    raw = D.accounts(spark, d).select("line_no", F.when(keep, F.col("username")).otherwise(F.lit(" ")).alias("username"), F.when(keep, F.col("system")).alias("system"))
+    return N.without_blank_rows(raw, leaving=("line_no",))
+
+
+@query(f"WITH {_ACC} SELECT line_no, manager AS owner, department AS owner__dup1, system AS unnamed_3 FROM a")
+def names_made_unique(spark, d):
+    acc = D.accounts(spark, d)
+    names = N.unique_names(["line_no", " owner", "owner ", None])
+    return acc.select("line_no", "manager", "department", "system").toDF(*names)
+
+
+@query(f"""WITH {_ACC}, p AS (SELECT line_no, line_no % 50 AS document, row_number() OVER (PARTITION BY line_no % 50 ORDER BY line_no) AS r, username, system FROM a)
+ SELECT document, CAST(ceil(r / 3.0) AS BIGINT) AS group_no, coalesce(username, '') AS username, system FROM p""")
+def positioned_tables(spark, d):
+    """Positioned rows of fifty documents: a table of three accounts under headers, a repeated header and a stray line, again and again."""
+    acc = D.accounts(spark, d).select("line_no", (F.col("line_no") % 50).alias("document"), F.coalesce("username", F.lit("")).alias("username"), "system")
+    r = F.row_number().over(Window.partitionBy("document").orderBy("line_no"))
+    placed = acc.withColumn("r", r).withColumns({"page": F.floor((F.col("r") - 1) / 3), "row": ((F.col("r") - 1) % 3) * 3})
+    head = lambda row: placed.where("row = 0").select("document", "page", F.lit(row).alias("row"), F.array(F.concat(F.lit("Login"), F.when(F.col("page") % 2 == 0, "").otherwise("s")), F.lit("Host name")).alias("cells"))
+    stray = placed.where("row = 0").select("document", "page", F.lit(2).alias("row"), F.array(F.lit("page"), F.lit("of"), F.lit("many")).alias("cells"))
+    body = placed.select("document", "page", F.col("row"), F.array("username", "system").alias("cells"))
+    rows = head(-2).unionByName(head(1)).unionByName(stray).unionByName(body)
+    groups = S.table_groups(rows).where("row >= 0")
+    return groups.select("document", F.col("group_no").cast("long").alias("group_no"), F.get("cells", F.lit(0)).alias("username"), F.get("cells", F.lit(1)).alias("system"))

@@ -13,6 +13,7 @@ from ..operators import cycles as C
 from ..operators import people as P
 from ..operators import reports as R
 from ..operators import review as A
+from ..operators import sinks as W
 from . import testdata as D
 from .oracle import BASE, BOTH, age, blank, cells, day, seconds, words
 
@@ -470,3 +471,43 @@ def trend_snapshots(spark, d):
 @query(f"WITH c AS (SELECT count(DISTINCT system) AS n FROM ({D.PREVIOUS_SQL}) x), e AS (SELECT count(DISTINCT system) AS n, bool_or(system = 'NATION_3') AS has FROM ({D.ACCOUNTS_SQL}) y) SELECT DATE '2000-01-01' AS cycle_date, c.n AS n_systems, false AS scope_changed FROM c UNION ALL SELECT DATE '2001-08-02', e.n - CASE WHEN has THEN 1 ELSE 0 END, true FROM e")
 def trend_lag_scope(spark, d):
     return C.scope_changes(_history(spark, d)).select("cycle_date", F.size("systems").cast("long").alias("n_systems"), "scope_changed")
+
+
+@query(BOTH + ", cu AS (SELECT * FROM an WHERE system <> 'NATION_3'), h AS (" + _snapshot_sql("pr", "2000-01-01", "Q1 2000") + " UNION ALL " + _snapshot_sql("cu", "2001-08-02", "Q3 2001") + ") SELECT cycle_date, system, total_accounts, is_dormant FROM h WHERE system = 'NATION_3' OR system = 'NATION_4' AND cycle_date > DATE '2001-01-01'")
+def trend_of_system(spark, d):
+    h = _history(spark, d)
+    return C.trend(h, " nation_3").unionByName(C.trend(h, "NATION_4").where("cycle_date > date'2001-01-01'")).select("cycle_date", "system", "total_accounts", "is_dormant")
+
+
+@query(_ACCEPT + " SELECT username, system, string_agg(finding, ', ' ORDER BY finding) AS findings FROM j WHERE gone GROUP BY line_no, username, system")
+def expired_acceptances(spark, d):
+    return R.with_expired_acceptances(_accepted(spark, d))
+
+
+@query(f"SELECT count(*) FILTER (line_no % 3 = 0) AS recognised FROM ({D.ACCOUNTS_SQL}) a")
+def recognised_rows(spark, d):
+    return R.read_by_recognition(D.accounts(spark, d).withColumn("_ocr_source", F.col("line_no") % 3 == 0))
+
+
+@query(f"SELECT line_no, CASE WHEN line_no % 4 = 0 THEN NULL ELSE CAST(line_no % 200 AS INT) END AS days_since_last_login, line_no % 4 <> 0 AND line_no % 200 > 90 AS is_dormant FROM ({D.ACCOUNTS_SQL}) a")
+def login_age_precomputed(spark, d):
+    days = F.when(F.col("line_no") % 4 != 0, F.concat((F.col("line_no") % 200).cast("string"), F.lit(".5")))
+    acc = D.accounts(spark, d).select("line_no", "username", "system", days.alias("days_since_last_login_precomputed"))
+    return A.analyse(acc, A.Settings(D.REF)).select("line_no", "days_since_last_login", "is_dormant")
+
+
+@query(_CHANGES + ", t AS (SELECT 11 AS number, username, system FROM ch WHERE profile_changed UNION ALL SELECT 12, username, system FROM ch WHERE reactivated), x AS (SELECT 13 AS number, pr.username, pr.system FROM pr WHERE NOT " + blank("pr.username") + " AND NOT EXISTS (SELECT 1 FROM an WHERE " + _K.format("an", "pr") + ")) SELECT number, lower(trim(username)) AS username, system FROM t UNION SELECT number, lower(trim(username)), system FROM x")
+def control_lists(spark, d):
+    """Accounts of the controls that compare two cycles, each login of a system once."""
+    a, b = analysed(spark, d), analysed_before(spark, d)
+    out = None
+    for k in (11, 12, 13):
+        part = W.control_rows(a, k, b).select(F.lit(k).alias("number"), T.low(F.col("username")).alias("username"), "system").distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(BASE + " SELECT line_no, CASE WHEN is_privileged_flag THEN 'Yes' ELSE 'No' END AS privileged, coalesce(CAST(days_since_password_change AS VARCHAR), 'Unknown (not verifiable)') AS password_age, CASE risk_level WHEN 'Critique' THEN 'Critical' WHEN 'Élevé' THEN 'High' WHEN 'Moyen' THEN 'Medium' ELSE 'Low' END AS risk FROM an")
+def shown_values(spark, d):
+    out = W.shown(analysed(spark, d), ["line_no", "is_privileged_flag", "days_since_password_change", "risk_level"])
+    return out.select(F.col("Line no").cast("long").alias("line_no"), F.col("Privileged").alias("privileged"), F.col("Days since password change").alias("password_age"), F.col("Risk level").alias("risk"))
