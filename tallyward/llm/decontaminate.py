@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import columns_of, materialise, new_names, small, table
 
 WINDOW = 5
 COVERED = 0.8
@@ -118,9 +118,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a leak; rows without doc_id stay."""
-    bad = materialise(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs without a leak: rows of one doc_id are one document, a row without doc_id is one by its text.
+
+    Null and empty texts have no leak and stay; long texts are searched whole; repeated
+    rows go or stay together. Columns of any name pass through; an empty table on either
+    side changes nothing."""
+    key, bad_key = new_names(docs, "key", "bad")
+    numbered = docs.withColumn(key, F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))))
+    found = leaks(numbered.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    bad = materialise(found.select(F.col("doc_id").alias(bad_key)).distinct(), "leaks")
+    return numbered.join(small(bad), F.col(key) == F.col(bad_key), "left_anti").select(*columns_of(docs))
 
 
 def op1_template_leaks(spark, sf_dir):

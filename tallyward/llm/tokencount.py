@@ -77,8 +77,9 @@ def lengths(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 def histogram(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """n_tokens, n_docs: one row for each length, over all documents.
 
-    Repeated rows count each time; columns other than text are ignored; an empty table
-    gives an empty histogram."""
+    Null and empty texts have length 0, long texts their whole length. Repeated rows count
+    each time; columns other than text are ignored; an empty table gives an empty
+    histogram."""
     return lengths(docs, ranks).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 

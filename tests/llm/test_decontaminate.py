@@ -87,3 +87,15 @@ def test_many_windows_take_the_other_join(spark, monkeypatch):
 
 def test_empty_tables(spark):
     assert not run(spark, [], [(1, QUESTION)]) and not run(spark, [(1, QUESTION)], [])
+
+
+def test_clean_drops_documents_and_texts_without_id(spark):
+    item = "a farmer sells seven baskets of apples to the old market near the river every day"
+    other = "nothing of the kind stands in these words at all, nor anywhere near them today"
+    names = ["doc_id", "text", "key", "bad", "a.b", "item"]
+    rows = [(1, "before " + item + " after", *"abcd"), (6, other, *"efgh"), (None, item, *"ijkl"), (None, other, *"mnop"), (2, None, *"qrst"), (3, "", *"uvwx"), (4, "word " * 50_000 + item, *"yzyz")]
+    df = spark.createDataFrame(rows, names)
+    kept = d.clean(df, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert kept.columns == names and {r["a.b"] for r in kept.collect()} == {"g", "o", "s", "w"}
+    assert d.clean(df, spark.createDataFrame([], "item_id long, text string")).count() == 7
+    assert d.clean(df.limit(0), spark.createDataFrame([(5, item)], "item_id long, text string")).count() == 0
