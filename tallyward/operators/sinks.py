@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from .cycles import account_key, changes, comparison_keys, created, deleted
+from .office import pdf, word, workbook
 from .reports import by_risk, completeness, in_english
 
 #: Columns that a full list shows, where they are there.
@@ -87,15 +88,15 @@ def control_rows(df: DataFrame, number: int, previous: DataFrame | None = None)
 
 def write_workbook(df: DataFrame, coverage: DataFrame, folder: str, fmt: str = "parquet", previous: DataFrame | None = None) -> None:
     """A folder for the summary, the completeness of the export, each control's accounts and the full list. Tables are never cut."""
-    save = lambda table, name: table.write.mode("overwrite").option("header", True).format(fmt).save(f"{folder}/{name}")
+    put = lambda table, name: table.write.mode("overwrite").option("header", True).format(fmt).save(f"{folder}/{name}")
     labels = fmt == "csv"
-    save(coverage.coalesce(1), "summary")  # nineteen rows
-    save(completeness(df).coalesce(1), "control_01")  # seven rows
+    put(coverage.coalesce(1), "summary")  # nineteen rows
+    put(completeness(df).coalesce(1), "control_01")  # seven rows
     for number, reads in READS.items():
         rows = control_rows(df, number, previous)
         if rows is not None:
-            save(shown(rows, ["system", "username", "full_name", *reads, "review_action"], labels), f"control_{number:02}")
-    save(shown(by_risk(df), labels=labels), "accounts")
+            put(shown(rows, ["system", "username", "full_name", *reads, "review_action"], labels), f"control_{number:02}")
+    put(shown(by_risk(df), labels=labels), "accounts")
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
@@ -103,14 +104,64 @@ def write_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").csv(folder, header=True)
 
 
+def report_blocks(coverage: DataFrame, histogram: DataFrame, breakdown: DataFrame, title: str = "Account review") -> list[tuple]:
+    """The figures of a review as blocks of a document; the tables it reads are a few rows each."""
+    controls = [[r.number, r.title, r.status, "-" if r.found is None else r.found] for r in coverage.orderBy("number").collect()]
+    levels = [[V.ENGLISH.get(r.risk_level, r.risk_level), r.accounts] for r in histogram.orderBy("rank").collect()]
+    statuses = [[r.account_status, r.n_current, r.n_previous, r.variation] for r in breakdown.orderBy("is_total", F.desc("n_current"), "account_status").collect()]
+    return [
+        ("heading", 1, title), ("table", [["#", "Control", "Status", "Found"], *controls]), ("table", [["Risk", "Accounts"], *levels]),
+        ("table", [["Status", "Now", "Before", "Variation"], *statuses]),
+    ]
+
+
 def markdown_report(coverage: DataFrame, histogram: DataFrame, breakdown: DataFrame, title: str = "Account review") -> str:
-    """The figures of a review as Markdown; the tables it reads are a few rows each."""
-    out = [f"# {title}", "", "| # | Control | Status | Found |", "| --- | --- | --- | --- |"]
-    out += [f"| {r.number} | {r.title} | {r.status} | {'-' if r.found is None else r.found} |" for r in coverage.orderBy("number").collect()]
-    out += ["", "| Risk | Accounts |", "| --- | --- |", *[f"| {V.ENGLISH.get(r.risk_level, r.risk_level)} | {r.accounts} |" for r in histogram.orderBy("rank").collect()]]
-    out += ["", "| Status | Now | Before | Variation |", "| --- | --- | --- | --- |"]
-    rows = breakdown.orderBy("is_total", F.desc("n_current"), "account_status").collect()
-    return "\n".join([*out, *[f"| {r.account_status} | {r.n_current} | {r.n_previous} | {r.variation} |" for r in rows], ""])
+    """``report_blocks`` as Markdown."""
+    out = []
+    for kind, *rest in report_blocks(coverage, histogram, breakdown, title):
+        if kind == "heading":
+            out += ["#" * rest[0] + " " + rest[1], ""]
+        elif kind == "paragraph":
+            out += [rest[0], ""]
+        else:
+            rows = [["" if c is None else str(c) for c in r] for r in rest[0]]
+            out += ["| " + " | ".join(rows[0]) + " |", "| " + " | ".join("---" for _ in rows[0]) + " |", *["| " + " | ".join(r) + " |" for r in rows[1:]], ""]
+    return "\n".join(out)
+
+
+def save(spark, path: str, content: bytes) -> None:
+    """A file through Spark's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    stream.write(content)
+    stream.close()
+
+
+def write_excel(df: DataFrame, coverage: DataFrame, path: str, previous: DataFrame | None = None) -> None:
+    """One workbook: the summary, the completeness of the export, each control's accounts and the full list.
+
+    Rows come to the driver one partition at a time; a table that is longer than a sheet
+    goes on in further ones."""
+    rows = lambda table: (table.columns, (tuple(r) for r in table.toLocalIterator()))
+
+    def sheets():
+        yield "Summary", *rows(coverage.orderBy("number"))
+        yield "Control 01", *rows(completeness(df))
+        for number, reads in READS.items():
+            part = control_rows(df, number, previous)
+            if part is not None:
+                yield f"Control {number:02}", *rows(shown(part, ["system", "username", "full_name", *reads, "review_action"]))
+        yield "Accounts", *rows(shown(by_risk(df)))
+
+    save(df.sparkSession, path, workbook(sheets()))
+
+
+def write_word(spark, blocks: list[tuple], path: str) -> None:
+    save(spark, path, word(blocks))
+
+
+def write_pdf(spark, blocks: list[tuple], path: str) -> None:
+    save(spark, path, pdf(blocks))
 
 
 def report_name(df: DataFrame, extension: str, on: date, origin: str | None = None, scope: str | None = None) -> str:

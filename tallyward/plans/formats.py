@@ -292,20 +292,49 @@ def log_store(spark, d):
     return R.read_table(spark, path, R.LOG_SCHEMA)
 
 
-@query(BASE + " SELECT CAST(n AS INT) AS number, c AS accounts FROM (VALUES " + ", ".join(f"({n}, (SELECT count(*) FROM an WHERE {cond}))" for n, cond in {2: "is_dormant", 3: "is_orphaned_account AND is_active_for_audit", 4: "is_test_account AND is_active_for_audit", 5: "is_active_for_audit", 6: "is_never_used", 7: "is_service_account AND is_active_for_audit", 8: "is_duplicate_account", 10: "is_recently_created", 14: "is_password_stale AND is_active_for_audit", 16: "is_privileged_flag AND is_active_for_audit", 18: "is_terminated_but_active"}.items()) + ") v(n, c)")
+_COUNTED = BASE + " SELECT CAST(n AS INT) AS number, c AS accounts FROM (VALUES " + ", ".join(f"({n}, (SELECT count(*) FROM an WHERE {cond}))" for n, cond in {2: "is_dormant", 3: "is_orphaned_account AND is_active_for_audit", 4: "is_test_account AND is_active_for_audit", 5: "is_active_for_audit", 6: "is_never_used", 7: "is_service_account AND is_active_for_audit", 8: "is_duplicate_account", 10: "is_recently_created", 14: "is_password_stale AND is_active_for_audit", 16: "is_privileged_flag AND is_active_for_audit", 18: "is_terminated_but_active"}.items()) + ") v(n, c)"
+
+
+@query(_COUNTED)
 def workbook_tables(spark, d):
     """Rows of each control's table in a written workbook."""
     acc = D.accounts(spark, d)
     an = A.analyse(acc, A.Settings(D.REF), known={c: {"day_first": True} for c in A.DATE_COLUMNS})
     folder = O.shared_folder(spark) + "/book"
     W.write_workbook(an, G.control_coverage(an, had=set(acc.columns)), folder)
-    counts = [spark.read.parquet(f"{folder}/control_{n:02}").agg(F.lit(n).alias("number"), F.count("*").alias("accounts")) for n in (2, 3, 4, 5, 6, 7, 8, 10, 14, 16, 18)]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
+    return _counts({n: spark.read.parquet(f"{folder}/control_{n:02}") for n in (2, 3, 4, 5, 6, 7, 8, 10, 14, 16, 18)})
+
+
+def _counts(tables):
+    out = None
+    for n, t in tables.items():
+        one = t.agg(F.lit(n).alias("number"), F.count("*").alias("accounts"))
+        out = one if out is None else out.union(one)
     return out
 
 
+@query(_COUNTED)
+def excel_report(spark, d):
+    """Rows of each control's sheet in a workbook, written and read again."""
+    acc = D.accounts(spark, d)
+    an = A.analyse(acc, A.Settings(D.REF), known={c: {"day_first": True} for c in A.DATE_COLUMNS})
+    path = O.shared_folder(spark) + "/book.xlsx"
+    W.write_excel(an, G.control_coverage(an, had=set(acc.columns)), path)
+    sheets = O.sheets(spark, path)
+    return _counts({n: sheets[f"Control {n:02}"] for n in (2, 3, 4, 5, 6, 7, 8, 10, 14, 16, 18)})
+
+
+@query(BASE + " SELECT l AS risk, CAST((SELECT count(*) FROM an WHERE risk_level = k) AS VARCHAR) AS accounts FROM (VALUES ('Critique', 'Critical'), ('Élevé', 'High'), ('Moyen', 'Medium'), ('Faible', 'Low')) v(k, l)")
+def word_report(spark, d):
+    """The table of risk levels of a Word report, written and read again."""
+    acc = D.accounts(spark, d)
+    an = A.analyse(acc, A.Settings(D.REF), known={c: {"day_first": True} for c in A.DATE_COLUMNS})
+    path = O.shared_folder(spark) + "/report.docx"
+    W.write_word(spark, W.report_blocks(G.control_coverage(an, had=set(acc.columns)), G.risk_histogram(an), G.status_breakdown(acc)), path)
+    raw = O._parsed(spark, path, lambda c: [(f"{k}", t) for k, t in enumerate(O.word_tables(c)[0])])
+    return raw.where("name = '1' and line_no > 0").select(F.get("cells", F.lit(0)).alias("risk"), F.get("cells", F.lit(1)).alias("accounts"))
+
+
 @query(f"WITH m AS (SELECT * FROM (VALUES (0, 'a', 'b'), (1, ' ', 'c'), (2, 'Same', 'same '), (3, 'x', 'y')) v(k, a, b)) SELECT CAST(k AS INT) AS pos, a AS role_a, b AS role_b FROM m WHERE trim(a) <> '' AND trim(b) <> '' AND lower(trim(a)) <> lower(trim(b))")
 def conflict_matrix(spark, d):
     return P.conflict_table(spark, [("a", "b"), (" ", "c"), ("Same", "same "), ("x", "y")])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as H
 from ..operators.cycles import merge_or_stack
+from ..operators.sinks import save
 from ..operators.standard import unique_names
 from . import text as S
 from .text import SourceError
@@ -282,7 +283,6 @@ def archive(spark: SparkSession, path: str, headers=None, default_system: str =
     base = shared_folder(spark)
     found = spark.read.format("binaryFile").load(path).select("path", "content").orderBy("path")
     tables: dict[str, DataFrame] = {}
-    fs = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     at = 0
     members = []
     for row in found.toLocalIterator():  # one archive at a time
@@ -293,9 +293,7 @@ def archive(spark: SparkSession, path: str, headers=None, default_system: str =
                     continue
                 target = f"{base}/{at}/{PurePosixPath(member).name}"
                 at += 1
-                stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(target))
-                stream.write(z.read(member))
-                stream.close()
+                save(spark, target, z.read(member))
                 members.append((PurePosixPath(row.path).stem, PurePosixPath(member), target))
     names = system_names([(PurePosixPath(a) / m.with_suffix("")).parts for a, m, _ in members])
     for name, (_, _, target) in zip(names, members):
@@ -317,10 +315,7 @@ def put_archive(spark: SparkSession, path: str, members: dict[str, str]) -> None
     with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
         for name, content in members.items():
             z.writestr(name, content)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
-    stream.write(f.getvalue())
-    stream.close()
+    save(spark, path, f.getvalue())
 
 
 def remove_unpacked(spark: SparkSession, folder: str) -> None:

@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 
-from tallyward.operators import cycles, reports, review, sinks
+from tallyward.operators import cycles, office, reports, review, sinks
 from tallyward.sources import stores
 from tallyward.streaming import review_stream
 
@@ -69,6 +69,21 @@ def test_report_tables_agree_with_figures(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["Username", "Review action", "Privileged"]
     assert sinks.report_name(df, ".md", REF) == "access-review_s0-s1_2026-Q3_20260701.md"
     assert sinks.report_name(df, "md", REF, origin="a/b c").startswith("access-review_a_b_c_")
+    sinks.write_excel(df, coverage, str(tmp_path / "book.xlsx"))
+    book = stores.documents.sheets(spark, str(tmp_path / "book.xlsx"))
+    assert list(book)[:2] == ["Summary", "Control 01"] and book["Accounts"].count() == 500
+    for r in coverage.where("found is not null").collect():
+        if r.found and f"Control {r.number:02}" in book:
+            assert book[f"Control {r.number:02}"].count() == r.found
+    blocks = sinks.report_blocks(coverage, reports.risk_histogram(df), reports.status_breakdown(df), "Revue é & (x)")
+    sinks.write_word(spark, blocks, str(tmp_path / "r.docx"))
+    tables, paragraphs = stores.documents.word_tables((tmp_path / "r.docx").read_bytes())
+    assert paragraphs[0] == "Revue é & (x)" and [len(t) for t in tables[:2]] == [20, 5] and tables[2][-1][0] == "TOTAL"
+    sinks.write_pdf(spark, blocks, str(tmp_path / "r.pdf"))
+    raw = (tmp_path / "r.pdf").read_bytes()
+    assert raw.startswith(b"%PDF-1.4") and b"(Revue \xe9 & \\(x\\))" in raw and b"TOTAL" in raw and raw.rstrip().endswith(b"%%EOF")
+    start = int(raw.split(b"startxref\n")[1].split()[0])
+    assert raw[start : start + 4] == b"xref" and all(raw[int(x[:10]) :].startswith(b"%d 0 obj" % k) for k, x in enumerate(raw[start:].split(b"\n")[3 : 3 + int(raw[start:].split()[2]) - 1], 1))
     f = tmp_path / "s.json"
     f.write_text("{}")
     (tmp_path / "b.zip").write_bytes(sinks.backup([str(f), str(tmp_path / "none.json")]))
@@ -83,3 +98,14 @@ def test_stream(spark, tmp_path):
     assert query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 40 and got.where("is_dormant").count() == review.analyse(df, review.Settings(REF)).where("is_dormant").count()
+
+
+def test_long_tables_go_on_in_further_sheets(monkeypatch):
+    monkeypatch.setattr(office, "SHEET_ROWS", 4)
+    raw = office.workbook([("a/b", ["x"], iter([[k] for k in range(7)])), ("none", ["y"], []), ("c", ["z"], [["<&\x01>"]])])
+    assert stores.documents.excel_sheets(raw) == [("a b", [["x"], ["0"], ["1"], ["2"]]), ("a b 2", [["x"], ["3"], ["4"], ["5"]]), ("a b 3", [["x"], ["6"]]), ("none", [["y"]]), ("c", [["z"], ["<&>"]])]
+
+
+def test_lines_of_a_wide_table_stay_in_the_page():
+    lines = office.lines_of([("heading", 1, "T"), ("table", [["a" * 30, "b"], ["word " * 40, "x y"]])], width=40)
+    assert all(len(t) <= 40 for _, t in lines) and "word" in " ".join(t for _, t in lines)
