@@ -11,7 +11,7 @@ taken in part, so that each source's words equal its target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, materialise, new_names, running, table, word_count
@@ -26,27 +26,32 @@ TICKS = 65_536
 WEIGHTS = (1, 2, 3)
 
 
+def _placed(df: DataFrame, order: list, tag: str) -> DataFrame:
+    """df as a table in an order over all partitions, with the number of each row's partition."""
+    return materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), tag)
+
+
 def targets(sizes: DataFrame, passes: int = PASSES, weights=WEIGHTS) -> DataFrame:
     """source, source_size, weight, target: shares by weight, capped at ``passes`` sizes.
 
     Sources by code point, null last, weigh ``weights`` in turn. Shares above the cap
     are cut to it and the excess is shared again by weight among the others: in order of
     cap per weight, a source is capped if its cap is below its share of what the sources
-    before it leave. One row for each source; the rows to sort are sources, not documents."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double"))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(passes)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    up = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    per = per.withColumns({
-        "left": F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(up), F.lit(0.0)),
-        "weigh": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(up), F.lit(0.0)),
-    })
-    share = F.col("left") / F.col("weigh")
-    per = per.withColumn("level", F.first(F.when(F.col("cap") / F.col("weight") >= share, share), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return per.select("source", "source_size", "weight", F.least("cap", F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
+    before it leave. One row for each source; ranks and sums run over sorted partitions, so
+    that there may be as many sources as documents."""
+    by_name = [F.col("source").asc_nulls_last()]
+    per = _placed(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), by_name, "sources")
+    per = running(per.withColumn("one", F.lit(1)), [], "part", by_name, "one", "rank").drop("part", "one")
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("double"))
+    per = per.withColumn("cap", F.col("source_size") * F.lit(float(passes))).withColumn("each", F.col("cap") / F.col("weight")).drop("rank")
+    by_cap = [F.col("each"), F.col("source").asc_nulls_last()]
+    per = _placed(per, by_cap, "caps")
+    whole = F.broadcast(per.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weights")))  # one row
+    shared = running(running(per, [], "part", by_cap, "cap", "caps"), [], "part", by_cap, "weight", "weighed").crossJoin(whole)
+    shared = shared.withColumn("share", (F.col("all") - F.col("caps") + F.col("cap")) / (F.col("weights") - F.col("weighed") + F.col("weight")))
+    first = F.struct("each", F.col("source").isNull().alias("last"), "source")
+    level = F.broadcast(shared.where("each >= share").agg(F.min_by("share", first).alias("level")))  # one row
+    return per.crossJoin(level).select("source", "source_size", "weight", F.least("cap", F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
 def schedule(docs: DataFrame, passes: int = PASSES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
