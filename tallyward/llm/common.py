@@ -144,6 +144,26 @@ def _forests(batches):
             yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["u", "v"])
 
 
+#: Links of a node above which they are dealt to several tasks.
+HUB = 1_000_000
+
+
+def _with_least(links: DataFrame, node: str, other: str, n: int) -> DataFrame:
+    """links with ``m``, the least ``other`` of the node; ``n``: how many links there are.
+
+    The least of a node with more than HUB links is repeated for as many parts as its
+    links are dealt to; with HUB links in all there is none."""
+    least = links.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("k"))
+    if n <= HUB:
+        return links.join(least.drop("k"), node)
+    least = materialise(least, "least")
+    parts = F.ceil(F.col("k") / HUB).cast("int")
+    hubs = least.where(F.col("k") > HUB).select(F.col(node).alias("hub"), parts.alias("parts"))
+    dealt = links.join(small(hubs), F.col(node) == F.col("hub"), "left")
+    dealt = dealt.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")).drop("hub", "parts")
+    return dealt.join(least.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("k"), [node, "part"]).drop("part")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long): node, root (smallest node).
 
@@ -153,14 +173,17 @@ def components(links: DataFrame) -> DataFrame:
     self-links are ignored; an empty table gives an empty table."""
     clean = links.select(F.col(links.columns[0]).cast("long").alias("u"), F.col(links.columns[1]).cast("long").alias("v")).where("u <> v")
     star = materialise(clean.mapInArrow(_forests, "u long, v long").distinct(), "links")
-    before = None
+    before, n = None, star.count()
     while True:
+        kept = set(tables(star.sparkSession))
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))))
-        new = materialise(small.where("a <> b").distinct().toDF("u", "v"), "star")
+        large = _with_least(both, "x", "y", 2 * n).where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v")).distinct()
+        if 2 * n > HUB:
+            large = materialise(large, "large")
+        small_star = _with_least(large, "u", "v", 2 * n).select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))))
+        new = materialise(small_star.where("a <> b").distinct().toDF("u", "v"), "star")
+        for path in set(tables(star.sparkSession)) - kept - {new._tallyward_path}:
+            drop(star.sparkSession, path)
         release(star)
         star = new
         now = tuple(star.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first())
@@ -168,7 +191,7 @@ def components(links: DataFrame) -> DataFrame:
             out = star.toDF("node", "root")
             out._tallyward_path = star._tallyward_path
             return out
-        before = now
+        before, n = now, now[0]
 
 
 def running(df: DataFrame, by: list[str], bucket: str, order: list, value: str, out: str, offset=None) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from tallyward.llm import simhash
+from tallyward.llm import common, simhash
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
 
@@ -75,3 +75,14 @@ def test_empty_table_and_dedup(spark):
     kept = simhash.dedup(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA))
     assert kept.columns == ["doc_id", "text", "fp", "component_id"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "9", "None"]
+
+
+def test_links_of_a_hub_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(6)
+    links = [(7, k) for k in range(100, 400)] + [(1000, k) for k in range(500, 700)] + [(k, rng.randrange(2000, 2100)) for k in range(2100, 2300)] + [(400, 1000), (3, 3)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {tuple(r) for r in common.components(df).collect()}
+    monkeypatch.setattr(common, "HUB", 40)
+    before = set(common.tables(spark))
+    assert {tuple(r) for r in common.components(df).collect()} == want
+    assert {r for n, r in want if n in (399, 450)} == {7} and (1000, 400) in want and len(set(common.tables(spark)) - before) == 1
