@@ -148,7 +148,8 @@ def scores(docs: DataFrame, sample: int = SAMPLE, row: str | None = None) -> tup
     votes, n = count["votes"].to_numpy(dtype=np.int64), count["count"].to_numpy(dtype=np.float64)
     patterns = np.stack([votes // 3**k % 3 for k in range(len(LABELLERS))], axis=1) if len(votes) else np.zeros((0, len(LABELLERS)), dtype=np.int64)
     post, given, prior = expectation_maximisation(patterns, n)
-    rows = sample_of(got, ["doc_id", "content"], sample, 7).select("votes", "at", "x").toPandas() if len(votes) else None
+    picked = sample_of(got.select("doc_id", "content", "row"), ["doc_id", "content"], sample, 7).select(F.col("row").alias("picked"))
+    rows = got.join(F.broadcast(picked), F.col("row") == F.col("picked")).select("votes", "at", "x").toPandas() if len(votes) else None  # SAMPLE rows
     y = dict(zip(votes.tolist(), post.tolist()))
     w = fit_logistic(rows["at"].to_list(), rows["x"].to_list(), [y[v] for v in rows["votes"]]) if rows is not None else np.zeros((1 << BITS) + 1)
 
