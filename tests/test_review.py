@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyward.functions import names as N
 from tallyward.functions import vocab as V
@@ -188,3 +189,32 @@ def test_the_list_of_people_is_whole(spark):
     names = {r.full_name for r in D.accounts(spark, d).select("full_name").where("full_name is not null").distinct().collect()}
     listed = {r.full_name for r in D.view(spark, d, D.PEOPLE).collect()}
     assert {x for x in names if not x.startswith(("Greta", "Felix"))} <= listed and names - listed
+
+
+def test_people_and_conflicts_agree_with_brute_force(spark):
+    """Every account against every listed person, and every role against every pair, by the rules themselves."""
+    import random
+
+    rng = random.Random(8)
+    first, last = ["Anna", "Boris", "A.", "Jean-Marc", "J", "Van", "Élise"], ["Moreau", "van der Berg", "O'Brien", "M.", "Li", "Quinn Rossi"]
+    name = lambda: " ".join(filter(None, [rng.choice(first), rng.choice(["", "", "B.", "Maria"]), rng.choice(last)]))
+    logins = ["amoreau", "anna.moreau", "bli", "jq", "elise", "moreau", "boris_adm", "x17"]
+    roles = ["Create Payment", "Aprove Payment", "approve payment v2", "Create Vendors", "Viewer", "developer lead", "Production Deploy", ""]
+    rows = [(rng.choice(logins) + str(rng.choice(["", "", "2"])), rng.choice([name(), name(), None]), rng.choice("st"), rng.choice(["Active", "Disabled"]), ";".join(rng.sample(roles, 2))) for _ in range(400)]
+    listed = sorted({name() for _ in range(25)})
+    acc = review.analyse(frame(spark, "username full_name system account_status role", *rows), review.Settings(REF)).withColumn("n", F.monotonically_increasing_id())
+    got = {(r.username, r.full_name, r.account_status): (r.is_transferred_but_active, r.transferred_name_ambiguous) for r in people.transferred(acc, frame(spark, "full_name", *[(x,) for x in listed])).collect()}
+    hits = 0
+    for username, full_name, _, status, _ in rows:
+        n = sum(N.same_person(username, x) or (full_name is not None and N.same_person(full_name, x)) for x in listed) if status == "Active" else 0
+        hits += n > 0
+        assert got[username, full_name, status] == (n > 0, n > 1), (username, full_name)
+    assert 50 < hits < 390
+    held: dict[str, set[str]] = {}
+    holders = [(f"u{k % 150}", "s", r[-1]) for k, r in enumerate(rows)]
+    for username, _, role in holders:
+        held.setdefault(username, set()).update(x.strip() for x in role.split(";") if x.strip())
+    holds = lambda role, part: part.lower() in role.lower() or N.ratio(part, role) >= 88.0
+    want = {u: next((f"{a} + {b}" for a, b in V.ROLE_CONFLICTS if any(holds(r, a) for r in rs) and any(holds(r, b) for r in rs)), "") for u, rs in held.items()}
+    out = people.role_conflicts(frame(spark, "username system role", *holders), people.conflict_table(spark)).select("username", "sod_conflict_detail").distinct().collect()
+    assert {r.username: r.sod_conflict_detail for r in out} == want and len(set(want.values())) > 1
