@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -37,13 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of a batch of rows on its way to a Python worker: few rows where texts are long.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Queries that run inside send batches of BATCH bytes at most."""
+    key, most = BATCH
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyward-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyward_path = path
     tables(spark).append(path)
