@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab as V
 from ..functions.dates import day_of
-from .review import rank_of_level, status
+from .review import is_privileged_role, rank_of_level, status
 
 SUMMARY = {
     "dormant": "is_dormant", "never_used": "is_never_used", "recently_created": "is_recently_created", "locked": "is_locked", "terminated_but_active": "is_terminated_but_active",
@@ -154,6 +154,24 @@ def distinct_rights(df: DataFrame) -> DataFrame:
     return df.select(F.explode(T.cells(F.col("user_rights"))).alias("user_right")).where(F.length("user_right") > 1).distinct()
 
 
+def rights_classified(df: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
+    """n_values, admin: distinct parts of rights and roles, and how many of them are privileged, by what was learned or by name."""
+    parts = None
+    for c in ("user_rights", "role"):
+        if c in df.columns:
+            one = df.select(F.explode(T.cells(F.col(c))).alias("r"))
+            parts = one if parts is None else parts.union(one)
+    told = {what: [k for k, v in (learned or {}).items() if v == what] for what in ("admin", "standard")}
+    admin = is_privileged_role(F.col("r"))
+    if told["standard"]:
+        admin = admin & ~F.col("r").isin(told["standard"])
+    if told["admin"]:
+        admin = admin | F.col("r").isin(told["admin"])
+    if parts is None:
+        parts = df.select(F.lit(None).cast("string").alias("r")).limit(0)
+    return parts.where("length(r) > 1").distinct().agg(F.count("*").alias("n_values"), F.count_if(admin).alias("admin"))
+
+
 def status_values(df: DataFrame, learned: dict[str, str] | None = None) -> DataFrame:
     """account_status, meaning, accounts: the distinct values and how they are read."""
     st = status(F.col("account_status"), learned)

@@ -335,9 +335,12 @@ def word_report(spark, d):
     return raw.where("name = '1' and line_no > 0").select(F.get("cells", F.lit(0)).alias("risk"), F.get("cells", F.lit(1)).alias("accounts"))
 
 
-@query(f"WITH m AS (SELECT * FROM (VALUES (0, 'a', 'b'), (1, ' ', 'c'), (2, 'Same', 'same '), (3, 'x', 'y')) v(k, a, b)) SELECT CAST(k AS INT) AS pos, a AS role_a, b AS role_b FROM m WHERE trim(a) <> '' AND trim(b) <> '' AND lower(trim(a)) <> lower(trim(b))")
+@query(f"WITH m AS (SELECT * FROM (VALUES (0, 'a', 'b'), (1, ' ', 'c'), (2, 'Same', 'same '), (3, 'x', 'y')) v(k, a, b)) SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS pos, a AS role_a, b AS role_b FROM m WHERE trim(a) <> '' AND trim(b) <> '' AND lower(trim(a)) <> lower(trim(b))")
 def conflict_matrix(spark, d):
-    return P.conflict_table(spark, [("a", "b"), (" ", "c"), ("Same", "same "), ("x", "y")])
+    """A file of pairs as its reader takes it."""
+    lines = spark.createDataFrame([(k, x) for k, x in enumerate(["Role;Against", "a;b", " ;c", "Same;same ", "x;y"])], "at long, value string")
+    rows = R.conflict_matrix(spark, _put(lines, "matrix.csv"))
+    return rows.select((F.dense_rank().over(Window.orderBy("pos")) - 1).cast("int").alias("pos"), "role_a", "role_b")
 
 
 @query(f"WITH {_ACC} SELECT line_no, length(role) AS n, regexp_matches(lower(role), '(^|[^a-z0-9_])({'|'.join(V.PRIVILEGED_ROLE_WORDS)})([^a-z0-9_]|$)') OR regexp_matches(lower(role), '{V.ADMIN_GROUP.replace('?:', '')}') OR regexp_matches(lower(role), '{'|'.join(V.PRIVILEGED_ROLE_PARTS)}') AS privileged FROM a WHERE role IS NOT NULL")

@@ -238,9 +238,13 @@ def distinct_rights(spark, d):
 @query(f"""WITH r AS (SELECT DISTINCT r FROM (SELECT unnest({cells('user_rights')}) AS r FROM ({D.ACCOUNTS_SQL}) a UNION ALL SELECT unnest({cells('role')}) FROM ({D.ACCOUNTS_SQL}) b) u WHERE length(r) > 1)
  SELECT count(*) AS n_values, count(*) FILTER (regexp_matches(lower(r), '(^|[^a-z0-9_])({'|'.join(V.PRIVILEGED_ROLE_WORDS)})([^a-z0-9_]|$)') OR regexp_matches(lower(r), '{V.ADMIN_GROUP.replace('?:', '')}') OR regexp_matches(lower(r), '{'|'.join(V.PRIVILEGED_ROLE_PARTS)}')) AS admin FROM r""")
 def rights_classified(spark, d):
-    acc = D.accounts(spark, d)
-    both = acc.select(F.explode(T.cells(F.col("user_rights"))).alias("r")).union(acc.select(F.explode(T.cells(F.col("role"))))).where("length(r) > 1").distinct()
-    return both.agg(n().alias("n_values"), F.count_if(A.is_privileged_role(F.col("r"))).alias("admin"))
+    return R.rights_classified(D.accounts(spark, d))
+
+
+@query(f"""WITH r AS (SELECT DISTINCT r FROM (SELECT unnest({cells('user_rights')}) AS r FROM ({D.ACCOUNTS_SQL}) a UNION ALL SELECT unnest({cells('role')}) FROM ({D.ACCOUNTS_SQL}) b) u WHERE length(r) > 1)
+ SELECT count(*) AS n_values, count(*) FILTER (r <> 'Administrator' AND (r = 'READ' OR regexp_matches(lower(r), '(^|[^a-z0-9_])({'|'.join(V.PRIVILEGED_ROLE_WORDS)})([^a-z0-9_]|$)') OR regexp_matches(lower(r), '{V.ADMIN_GROUP.replace('?:', '')}') OR regexp_matches(lower(r), '{'|'.join(V.PRIVILEGED_ROLE_PARTS)}'))) AS admin FROM r""")
+def rights_as_learned(spark, d):
+    return R.rights_classified(D.accounts(spark, d), {"READ": "admin", "Administrator": "standard"})
 
 
 # ---- dates ------------------------------------------------------------------------------
