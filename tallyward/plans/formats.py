@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import headers as H
 from ..functions import text as T
 from ..functions import vocab as V
-from ..operators import people as P
 from ..operators import reports as G
 from ..operators import review as A
 from ..operators import sinks as W

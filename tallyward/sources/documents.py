@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ..functions import headers as H
 from ..operators.cycles import merge_or_stack
 from ..operators.sinks import save
-from ..operators.standard import unique_names
 from . import text as S
 from .text import SourceError
 
