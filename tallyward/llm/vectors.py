@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from .common import components, forest, materialise, table
 
 COSINE = 0.95
-#: Vectors of a shard, at most; at least LEAST shards.
-SHARD, LEAST = 65_536, 4
-#: Queries of a block.
-BLOCK = 16_384
+#: Vectors of a shard and queries of a block, at most; at least LEAST of each.
+SHARD, BLOCK, LEAST = 65_536, 131_072, 4
+#: Queries that a task holds at once, and audits.
+CHUNK = 16_384
+#: Tasks of the search, at most: each takes its pairs of shard and block one after another.
+TASKS = 20_000
 #: Links of a node on the ground layer (half above), beam while building, first beam of a search.
 DEGREE, BUILD, BEAM = 24, 48, 16
 #: Recall that an audit asks for, recall below which a run fails, an audit's queries and probes.
@@ -366,9 +368,19 @@ def _query(batches):
                 graph, cls, size, x = _open(data)
             else:
                 ids.append(cl), units.append(data)
+                if len(ids) == CHUNK:
+                    yield from answer()
+                    ids, units = [], []
     yield from answer()
 
 
+def evenly_named(spark, n: int) -> DataFrame:
+    """index, name: for each partition of n, a number that is dealt to it by hash."""
+    number = F.col("id").cast("int")
+    some = spark.range(64 * n).select(number.alias("name"), F.pmod(F.hash(number), F.lit(n)).alias("index"))
+    return some.groupBy("index").agg(F.min("name").alias("name"))
+
+
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept, recall for each row of vectors.
 
@@ -388,12 +400,15 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     classes = materialise(classes, "classes")
     n = classes.count()
     shards = max(LEAST, -(-n // SHARD))
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(LEAST, -(-n // BLOCK))
+    spark = vectors.sparkSession
     dealt = classes.select(F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).cast("int").alias("shard"), "dim", "cls", "n", "unit")
-    graphs = materialise(dealt.groupBy("shard").applyInArrow(_build, "shard int, dim int, graph binary"), "graphs")
+    # a task for each shard: by names that don't meet in one partition; shards are few
+    named = dealt.join(F.broadcast(evenly_named(spark, shards)), F.col("shard") == F.col("index"), "left").withColumn("name", F.coalesce("name", -1 - F.col("shard"))).drop("index")
+    graphs = materialise(named.repartition(shards, "name").groupBy("name").applyInArrow(_build, "shard int, dim int, graph binary"), "graphs")
     asked = classes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.pmod(F.xxhash64("k2"), F.lit(blocks)).cast("int").alias("block"), "cls", F.col("unit").alias("data"))
     shown = graphs.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("long").alias("cls"), F.col("graph").alias("data"))
-    rows = asked.unionByName(shown).repartition(max(shards * blocks, 2), "shard", "dim", "block").sortWithinPartitions("shard", "dim", "block", F.col("cls").asc_nulls_first())
+    rows = asked.unionByName(shown).repartition(min(shards * blocks, TASKS), "shard", "dim", "block").sortWithinPartitions("shard", "dim", "block", F.col("cls").asc_nulls_first())
     found = materialise(rows.mapInArrow(_query, "a long, b long, n long, recall double"), "found")
     worst = found.agg(F.min("recall")).first()[0]
     if worst is not None and worst < LEAST_RECALL:

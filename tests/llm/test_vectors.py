@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tallyward.llm import vectors as v
 
@@ -98,3 +99,21 @@ def test_table_agrees_with_brute_force(spark):
         assert (got[b[0]].n_links, got[b[0]].component_id, got[b[0]].kept) == (0, b[0], True)
     assert got[6000].n_links == got[6001].n_links == 1 and got[6001].component_id == 6000
     assert v.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_chunks_of_a_block_answer_like_one(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = clusters(rng, 700).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(700)
+    data = [u.tobytes() for u in unit]
+    table = pa.table({"name": pa.array([0] * 700, pa.int32()), "shard": pa.array([0] * 700, pa.int32()), "dim": pa.array([64] * 700, pa.int32()), "cls": ids, "n": np.ones(700, dtype=np.int64), "unit": pa.array(data, pa.binary())})
+    graph = v._build(table)["graph"][0].as_py()
+    rows = pa.record_batch({"shard": pa.array([0] * 701, pa.int32()), "dim": pa.array([64] * 701, pa.int32()), "block": pa.array([0] * 701, pa.int32()), "cls": pa.array([None, *ids.tolist()], pa.int64()), "data": pa.array([graph, *data], pa.binary())})
+    want = brute(x).sum(axis=1)
+    for chunk in (10_000, 100, 350):
+        monkeypatch.setattr(v, "CHUNK", chunk)
+        out = pa.Table.from_batches(list(v._query([rows.slice(0, 200), rows.slice(200)]))).to_pylist()
+        counts = {r["a"]: r["n"] for r in out if r["b"] is None}
+        assert sorted(counts) == ids.tolist() and sum(counts.values()) >= 0.98 * want.sum()
+        assert all(counts[i] <= want[i] for i in counts)
