@@ -22,7 +22,7 @@ PASSES = 3
 #: Hash ranges into which a pass over a source is cut for its running sums.
 RANGES = 1024
 #: Ranges of a unit of virtual time, in which words are added up before the ranges' own sums are.
-TICKS = 65_536
+TICKS = 8_192
 WEIGHTS = (1, 2, 3)
 
 
