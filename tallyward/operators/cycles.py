@@ -41,12 +41,40 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.withColumn("overlap", F.when(small > 0, F.round(F.col("common") / small, 6)).otherwise(0.0))
 
 
+#: Pairs of rows of one login above which they are dealt to several tasks, and rows of a side in a block there.
+PAIRS, SIDE = 100_000, 512
+
+
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Full outer join on username (null keys meet); where both have a column the left's value wins."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-    both = left.join(r, F.col("username").eqNullSafe(F.col("_r_username")), "full")
+    """Full outer join on username (null keys meet); where both have a column the left's value wins.
+
+    Logins whose rows make more than PAIRS pairs are joined apart: both sides are counted
+    by row, dealt to chunks of SIDE rows, and each pair of chunks is a block of its own,
+    whose rows are repeated as often as they were counted. All pairs come out."""
     columns = [*left.columns, *[c for c in right.columns if c not in left.columns]]
-    return both.select(*[(F.coalesce(F.col(c), F.col(f"_r_{c}")) if c in left.columns and c in right.columns else F.col(c) if c in left.columns else F.col(f"_r_{c}")).alias(c) for c in columns])
+    r = right.toDF(*[f"_r_{c}" for c in right.columns])
+    per = left.groupBy("username").agg(F.count("*").alias("_nl")).join(r.groupBy("_r_username").agg(F.count("*").alias("_nr")), F.col("username").eqNullSafe(F.col("_r_username")))
+    chunks = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    hot = F.broadcast(per.where(F.col("_nl") * F.col("_nr") > PAIRS).select(F.col("username").alias("_hot"), chunks("_nl").alias("_cl"), chunks("_nr").alias("_cr")))  # a row for PAIRS rows of the result
+
+    def dealt(df, key, mine, other, n):
+        rows = df.join(hot, F.col(key).eqNullSafe(F.col("_hot"))).groupBy(*df.columns, mine, other).agg(F.count("*").alias("_n"))
+        # of many equal rows each SIDE go to a chunk of their own
+        some = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / SIDE).cast("int") - 1)))
+        some = some.withColumn(n, F.least(F.lit(SIDE), F.col("_n") - F.col("_piece") * SIDE).cast("int")).withColumn(f"{n}_at", F.pmod(F.xxhash64(*df.columns, "_piece"), mine).cast("int"))
+        own, theirs = F.col(f"{n}_at"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_with")
+        some = some.select(*df.columns, n, own, theirs)
+        pair = (own, F.col("_with")) if n == "_l" else (F.col("_with"), own)
+        return some.select(*df.columns, n, F.struct(F.col(key).alias("k"), pair[0].alias("i"), pair[1].alias("j")).alias(f"_block{n}"))
+
+    a, b = dealt(left, "username", "_cl", "_cr", "_l"), dealt(r, "_r_username", "_cr", "_cl", "_r")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: by their size before they are repeated, all blocks would go to one task
+    both = a.repartition(tasks, "_block_l").join(b.repartition(tasks, "_block_r"), F.col("_block_l") == F.col("_block_r"))
+    again = lambda df, n: df.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col(n)))).drop("_again")
+    many = again(again(both, "_l"), "_r").select(*left.columns, *r.columns)
+    cold = lambda df, key: df.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left_anti")
+    few = cold(left, "username").join(cold(r, "_r_username"), F.col("username").eqNullSafe(F.col("_r_username")), "full")
+    return few.union(many).select(*[(F.coalesce(F.col(c), F.col(f"_r_{c}")) if c in left.columns and c in right.columns else F.col(c) if c in left.columns else F.col(f"_r_{c}")).alias(c) for c in columns])
 
 
 def stack(*tables: DataFrame) -> DataFrame:

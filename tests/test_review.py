@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -218,3 +219,17 @@ def test_people_and_conflicts_agree_with_brute_force(spark):
     want = {u: next((f"{a} + {b}" for a, b in V.ROLE_CONFLICTS if any(holds(r, a) for r in rs) and any(holds(r, b) for r in rs)), "") for u, rs in held.items()}
     out = people.role_conflicts(frame(spark, "username system role", *holders), people.conflict_table(spark)).select("username", "sod_conflict_detail").distinct().collect()
     assert {r.username: r.sod_conflict_detail for r in out} == want and len(set(want.values())) > 1
+
+
+def test_merge_deals_logins_of_many_rows(spark, monkeypatch):
+    """All pairs come out, alike rows as often as they are there, and those of one login from several tasks."""
+    monkeypatch.setattr(cycles, "PAIRS", 200)
+    monkeypatch.setattr(cycles, "SIDE", 8)
+    left = [("h", f"S{k % 3}", "r") for k in range(30)] + [("h", "one", "same")] * 20 + [(None, "n", str(k % 2)) for k in range(21)] + [("c", "S", "x")] * 2 + [("only", None, "y")]
+    right = [("h", f"T{k % 5}", str(k % 4)) for k in range(31)] + [(None, None, "q")] * 12 + [("c", "T", "z"), ("other", "T", None)]
+    want = [(u, s if s is not None else t, r, m) for u, s, r in left for v, t, m in right if u == v] + [("only", None, "y", None), ("other", "T", None, None)]
+    out = cycles.merge(spark.createDataFrame(left, "username string, system string, role string"), spark.createDataFrame(right, "username string, system string, manager string"))
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    assert out.columns == ["username", "system", "role", "manager"]
+    assert sorted(map(repr, ((r.username, r.system, r.role, r.manager) for r in rows))) == sorted(map(repr, want))
+    assert len({r.task for r in rows if r.username == "h"}) > 1 and max(Counter(r.task for r in rows if r.username == "h").values()) < 50 * 31
