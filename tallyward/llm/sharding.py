@@ -23,10 +23,8 @@ from .common import columns_of, materialise, new_names, release, table
 
 N_SHARDS = 40
 BITS = 16
-#: Finer ranges that are summed in one go, at most (or twice the ranges to be divided).
+#: Finer ranges that are summed in one go, at most.
 ROWS = 65_536
-#: Ranges held at most. Where more would be needed, the capacity is within what is left between both.
-MOST = 1 << 20
 #: Parts of a shard that are numbered apart, before the parts' offsets are added.
 PARTS = 1024
 
@@ -119,14 +117,18 @@ class Ranges:
             low, top = (low, mid) if self.reach(mid, n, True)[-1] >= whole else (mid + 1, top)
         if low >= high:
             return high, high, np.zeros(0, dtype=np.int64)
+        return low, high, self.unsure(low, high, n)
+
+    def unsure(self, low: int, high: int, n_shards: int) -> np.ndarray:
+        """The ranges of many hashes where shards may end at a capacity from low to high."""
         total = np.r_[0, np.cumsum(self.size)]
         asked = np.zeros(len(self.size) + 1, dtype=np.int64)
-        for a, b in zip(self.reach(low, n, False), self.reach(high, n, True)):
+        for a, b in zip(self.reach(low, n_shards, False), self.reach(high, n_shards, True)):
             first, last = np.searchsorted(total, a, side="right") - 1, np.searchsorted(total, b, side="left")
             if first < last:
                 asked[first] += 1
                 asked[last] -= 1
-        return low, high, np.flatnonzero((np.cumsum(asked[:-1]) > 0) & self.many)
+        return np.flatnonzero((np.cumsum(asked[:-1]) > 0) & self.many)
 
 
 def _ranges(rows: DataFrame, depth: int) -> Ranges:
@@ -137,23 +139,30 @@ def _ranges(rows: DataFrame, depth: int) -> Ranges:
     return Ranges(prefix[order], np.full(len(order), depth), per["size"].to_numpy(dtype=np.int64)[order], per["many"].to_numpy(dtype=bool)[order])
 
 
-def ranges(rows: DataFrame, n_shards: int, bits: int = BITS, most_rows: int = ROWS, most: int = MOST) -> Ranges:
-    """Ranges of the hash of (hash, size) rows, fine enough for the least capacity over single hashes."""
-    known, depth = _ranges(rows, bits), bits
+def ranges(rows: DataFrame, n_shards: int, bits: int = BITS, most_rows: int = ROWS) -> Ranges:
+    """Ranges of the hash of (hash, size) rows, fine enough for the least capacity over single hashes, however many there are.
+
+    Where many ranges are asked for, the capacity in the middle is tried first, from the
+    first shards on: where one ends is known before the next one's end is looked for."""
+    known, few = _ranges(rows, bits), max(1, most_rows // 16)
     while True:
         low, high, asked = known.between(n_shards)
-        if not len(asked) or len(known.size) > most:
+        if not len(asked):
             return known
+        if len(asked) > few:
+            middle = (low + high) // 2
+            asked = known.unsure(middle, middle, n_shards)[:few]
+        depth = int(known.depth[asked].min())
+        asked = asked[known.depth[asked] == depth]
         deeper = min(64, depth + max(1, (most_rows // len(asked)).bit_length() - 1))
-        # what was never divided lies outside of all later gaps, so all that are asked for are of one depth
         wanted = rows.sparkSession.createDataFrame([(int(p),) for p in known.prefix[asked].view(np.int64)], "wanted long")
-        some = rows.join(F.broadcast(wanted), F.shiftrightunsigned("hash", 64 - depth) == F.col("wanted"), "left_semi")  # most_rows rows or less
+        some = rows.join(F.broadcast(wanted), F.shiftrightunsigned("hash", 64 - depth) == F.col("wanted"), "left_semi")  # most_rows ranges at most
         finer = _ranges(some, deeper)
         kept = np.ones(len(known.size), dtype=bool)
         kept[asked] = False
         both = Ranges(*(np.concatenate([getattr(known, c)[kept], getattr(finer, c)]) for c in ("prefix", "depth", "size", "many")))
         order = np.argsort(both.start(), kind="stable")
-        known, depth = Ranges(both.prefix[order], both.depth[order], both.size[order], both.many[order]), deeper
+        known = Ranges(both.prefix[order], both.depth[order], both.size[order], both.many[order])
 
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:

@@ -2,6 +2,9 @@ import random
 import zlib
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tallyward.llm import sharding
 
 SCHEMA = "doc_id long, text string, c string, _part string, hash int"
@@ -82,3 +85,23 @@ def test_clashing_names_and_long_texts(spark):
 
 def test_empty(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_least_capacity_where_large_groups_leave_all_ranges_open(spark):
+    """Large groups make both capacities differ until they stand alone, which takes more ranges than may be held if all are divided at once."""
+    n, n_shards = 60_000, 10
+    df = spark.range(n).select(F.xxhash64("id").alias("hash"), F.when(F.col("id") % 4_000 == 77, 60_000).otherwise(16 + F.col("id") % 5).cast("long").alias("size")).localCheckpoint()
+    known = sharding.ranges(df, n_shards, bits=8, most_rows=1024)
+    at = df.groupBy("hash").agg(F.sum("size").alias("size")).toPandas()
+    sizes = at["size"].to_numpy()[np.argsort(at["hash"].to_numpy().view(np.uint64))]
+    total = np.r_[0, np.cumsum(sizes)]
+
+    def fits(cap):
+        done = 0
+        for _ in range(n_shards):
+            done = int(np.searchsorted(total, total[done] + cap, side="right")) - 1
+        return done == len(sizes)
+
+    cap = sharding.plan(known.size.tolist(), n_shards)[0]
+    assert known.size.sum() == sizes.sum() and fits(cap) and not fits(cap - 1)
+    assert len(known.size) < n // 4
