@@ -7,6 +7,7 @@ import re
 import zipfile
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,9 +141,10 @@ def save(spark, path: str, content: bytes) -> None:
 def write_excel(df: DataFrame, coverage: DataFrame, path: str, previous: DataFrame | None = None) -> None:
     """One workbook: the summary, the completeness of the export, each control's accounts and the full list.
 
-    Rows come to the driver one partition at a time; a table that is longer than a sheet
-    goes on in further ones."""
-    rows = lambda table: (table.columns, (tuple(r) for r in table.toLocalIterator()))
+    The accounts are computed once for all sheets. Rows come to the driver one partition at
+    a time, the next meanwhile; a table that is longer than a sheet goes on in further ones."""
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.DISK_ONLY)  # each partition of each sheet is a job
+    rows = lambda table: (table.columns, (tuple(r) for r in table.toLocalIterator(prefetchPartitions=True)))
 
     def sheets():
         yield "Summary", *rows(coverage.orderBy("number"))
@@ -153,7 +155,10 @@ def write_excel(df: DataFrame, coverage: DataFrame, path: str, previous: DataFra
                 yield f"Control {number:02}", *rows(shown(part, ["system", "username", "full_name", *reads, "review_action"]))
         yield "Accounts", *rows(shown(by_risk(df)))
 
-    save(df.sparkSession, path, workbook(sheets()))
+    try:
+        save(df.sparkSession, path, workbook(sheets()))
+    finally:
+        df.unpersist()
 
 
 def write_word(spark, blocks: list[tuple], path: str) -> None:

@@ -199,3 +199,14 @@ def test_split_files_and_object_lines(spark, tmp_path):
     assert S.csv_shape(spark, str(tmp_path / "q.csv"), ";", "UTF-8") == (2, True)
     lines = S.json(spark, put(tmp_path, "l.json", '{"username": "ann", "system": "A"}\n{"username": "bob", "system": "B"}\n'))
     assert {r.username for r in lines.collect()} == {"ann", "bob"}
+
+
+def test_a_workbook_is_parsed_once(spark, tmp_path, monkeypatch):
+    """Sheets come in the workbook's order, whole, however often they are read, from one reading of the file."""
+    two = [("Z", [NAMES[:2], *[[f"u{k}", "n" if k % 3 else None] for k in range(25)]]), ("A", [["Login", "Name"], ("dan", "Dan")])]
+    path = put(tmp_path, "a.xlsx", workbook(two))
+    monkeypatch.setattr(D, "ROWS", 10)
+    found = D.sheets(spark, path)
+    (tmp_path / "a.xlsx").unlink()
+    assert list(found) == ["Z", "A"] and found["Z"].count() == 25 and found["A"].first().Login == "dan"
+    assert {r.Username for r in found["Z"].collect()} == {f"u{k}" for k in range(25)}
